@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: white space beyond what trim() strips.
-BLANK = r"[\s   -​    　﻿]"
+BLANK = r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 #: Words that stand for a missing value.
 MISSING_WORDS = ("nan", "none", "null")
 
@@ -45,5 +45,5 @@ def digest_key(c: Column) -> Column:
     """64 lower-case hex digits of a SHA-256 in any spelling; null for missing values, placeholders and other text.
 
     A placeholder is text that is no digest, or a digest of one repeated digit."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"[\s \-_]+", ""), r"^(sha256:?|0x)+", "")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"[\s\u00a0\-_]+", ""), r"^(sha256:?|0x)+", "")
     return F.when(bare.rlike(r"^[0-9a-f]{64}$") & ~bare.rlike(r"^(.)\1{63}$"), bare)
