@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from sonoplan.llm.bpe import encode_texts
+from sonoplan.llm.leak import find_leaks
+from sonoplan.llm.overlap import overlap_pairs, overlap_report
 from sonoplan.llm.pieces import split_oversized
 from sonoplan.llm.sql import SQL
 from sonoplan.sources.tables import table
 
 
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_pairs(table(spark, folder, "baseline_rows"), table(spark, folder, "recording_windows"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_pairs(spark, folder).select("id_a", "id_b")
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_report(table(spark, folder, "baseline_rows"), p4_pairs(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -22,5 +38,20 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_pieces(spark, folder).where("piece_no = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p9_pieces, p9_found)}
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least half of an item's words within runs of eight or more."""
+    return p8_passages(spark, folder).where("covered_words * 2 >= item_words").select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per item: documents that hold it whole, by half, or any run of it."""
+    is_ = lambda c: F.count(F.when(c, 1))
+    return p8_passages(spark, folder).groupBy("item_id").agg(is_(F.expr("covered_words = item_words")).alias("n_whole"), is_(F.expr("covered_words * 2 >= item_words")).alias("n_half"), F.count(F.lit(1)).alias("n_any"), F.max("longest_run").alias("longest_run"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p4_report, p8_found, p8_passages, p8_items, p7_ids, p9_pieces, p9_found)}
 __all__ = ["QUERIES", "SQL"]

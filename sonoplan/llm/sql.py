@@ -1,3 +1,26 @@
 """SQL that must agree with the queries, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+
+def _digest(c: str) -> str:
+    bare = rf"regexp_replace(regexp_replace(lower({c}), '[\s\x{{a0}}_-]+', '', 'g'), '^(sha256:?|0x)+', '')"
+    return f"CASE WHEN regexp_full_match({bare}, '[0-9a-f]{{64}}') AND {bare} <> repeat(substr({bare}, 1, 1), 64) THEN {bare} END"
+
+
+_OVERLAP = f"""
+rec AS (SELECT DISTINCT id, lower(trim(split)) = 'train' is_train, {_digest('audio_sha256')} a, {_digest('window_sha256')} w FROM baseline_rows WHERE lower(trim(split)) IN ('train', 'dev', 'test')),
+win AS (SELECT DISTINCT r.id, is_train, d FROM (SELECT id, {_digest('window_sha256')} d FROM recording_windows) JOIN (SELECT DISTINCT id, is_train FROM rec) r USING (id) WHERE d IS NOT NULL),
+size AS (SELECT id, is_train, count(*) n FROM win GROUP BY 1, 2),
+shared AS (SELECT t.id t, e.id e, count(*) k FROM win t JOIN win e ON t.d = e.d AND t.is_train AND NOT e.is_train GROUP BY 1, 2),
+pairs AS (
+  SELECT t.id t, e.id e, 1 kind, 0 k FROM rec t JOIN rec e ON t.a = e.a AND t.is_train AND NOT e.is_train
+  UNION SELECT t.id, e.id, 2, 0 FROM rec t JOIN rec e ON t.w = e.w AND t.is_train AND NOT e.is_train
+  UNION SELECT t, e, 0, k FROM shared s JOIN size x ON x.id = t AND x.is_train JOIN size y ON y.id = e AND NOT y.is_train WHERE 2 * k >= least(x.n, y.n)),
+found AS (SELECT least(t, e) id_a, greatest(t, e) id_b, bool_or(kind = 1) same_audio, bool_or(kind = 2) same_window, max(k) shared_windows FROM pairs WHERE t <> e GROUP BY 1, 2)"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"WITH {_OVERLAP} SELECT id_a, id_b FROM found",
+    "p4_report": f"""WITH {_OVERLAP},
+ends AS (SELECT id, count(*) k FROM (SELECT id_a id FROM found UNION ALL SELECT id_b FROM found) GROUP BY 1),
+mine AS (SELECT DISTINCT id, lower(trim(split)) AS split, source FROM baseline_rows WHERE lower(trim(split)) IN ('dev', 'test'))
+SELECT split, source, count(*) n_records, count(k) n_overlapping, coalesce(sum(k), 0)::BIGINT n_pairs FROM mine LEFT JOIN ends USING (id) GROUP BY 1, 2""",
+}
