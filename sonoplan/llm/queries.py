@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoplan.llm.bpe import encode_texts
+from sonoplan.llm.canonical import canonical
 from sonoplan.llm.leak import find_leaks
 from sonoplan.llm.overlap import overlap_pairs, overlap_report
 from sonoplan.llm.pieces import split_oversized
@@ -14,6 +15,23 @@ from sonoplan.llm.sql import SQL
 from sonoplan.sources.tables import table
 
 
+def p3_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """source_table, sample_id, typed, code of each distinct sample of both tables; code is null where nothing was typed."""
+    typed = lambda name, c: table(spark, folder, name).select(F.lit(name).alias("source_table"), "sample_id", F.col(c).alias("typed")).distinct()
+    rows = typed("indicvoices", "lang").unionByName(typed("indicsynth", "language"))
+    return canonical(rows, table(spark, folder, "language_list"), "language_code", ["iso3"], "name", "other_names")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    exact = table(spark, folder, "language_list").select(F.col("name").alias("typed"))
+    return p3_mapped(spark, folder).where("typed IS NOT NULL").join(F.broadcast(exact), "typed", "left_anti").select("source_table", "sample_id", F.col("code").alias("language_code"))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples and distinct values of each code and table, `none` for the unmatched."""
+    return p3_mapped(spark, folder).where("typed IS NOT NULL").groupBy("source_table", F.col("code").alias("language_code")).agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct("typed").alias("n_values"))
+
+
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_pairs(table(spark, folder, "baseline_rows"), table(spark, folder, "recording_windows"))
 
@@ -53,5 +71,5 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return p8_passages(spark, folder).groupBy("item_id").agg(is_(F.expr("covered_words = item_words")).alias("n_whole"), is_(F.expr("covered_words * 2 >= item_words")).alias("n_half"), F.count(F.lit(1)).alias("n_any"), F.max("longest_run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p4_report, p8_found, p8_passages, p8_items, p7_ids, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_report, p8_found, p8_passages, p8_items, p7_ids, p9_pieces, p9_found)}
 __all__ = ["QUERIES", "SQL"]
