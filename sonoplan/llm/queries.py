@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sonoplan.llm import calibrate, grouped_split
 from sonoplan.llm.bpe import encode_texts
 from sonoplan.llm.canonical import canonical
 from sonoplan.llm.leak import find_leaks
@@ -44,6 +46,38 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(table(spark, folder, "baseline_rows"), p4_pairs(spark, folder))
 
 
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    planned, _ = calibrate.plan(table(spark, folder, "manifest"), table(spark, folder, "sample_targets"))
+    return calibrate.report(spark, planned)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_report(spark, folder).where("n_available < n_wanted").select("cell_id")
+
+
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return calibrate.draw(*calibrate.plan(table(spark, folder, "manifest"), table(spark, folder, "sample_targets")))
+
+
+#: Shares of the new splits.
+RATIOS = {"train": 0.6, "dev": 0.2, "test": 0.2}
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped_split.broken(grouped_split.grouped(table(spark, folder, "manifest")))
+
+
+def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped_split.split_groups(grouped_split.grouped(table(spark, folder, "manifest")), RATIOS)
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and components of each new split, with its share of all records."""
+    found = p6_splits(spark, folder).groupBy("new_split").agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("component").alias("n_components"))
+    total = F.sum("n_records").over(W.partitionBy())
+    return found.select("new_split", "n_records", "n_components", F.round(F.col("n_records") / total, 6).alias("share"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -71,5 +105,5 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return p8_passages(spark, folder).groupBy("item_id").agg(is_(F.expr("covered_words = item_words")).alias("n_whole"), is_(F.expr("covered_words * 2 >= item_words")).alias("n_half"), F.count(F.lit(1)).alias("n_any"), F.max("longest_run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_report, p8_found, p8_passages, p8_items, p7_ids, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_splits, p6_report, p8_found, p8_passages, p8_items, p7_ids, p9_pieces, p9_found)}
 __all__ = ["QUERIES", "SQL"]

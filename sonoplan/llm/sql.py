@@ -17,8 +17,47 @@ pairs AS (
   UNION SELECT t, e, 0, k FROM shared s JOIN size x ON x.id = t AND x.is_train JOIN size y ON y.id = e AND NOT y.is_train WHERE 2 * k >= least(x.n, y.n)),
 found AS (SELECT least(t, e) id_a, greatest(t, e) id_b, bool_or(kind = 1) same_audio, bool_or(kind = 2) same_window, max(k) shared_windows FROM pairs WHERE t <> e GROUP BY 1, 2)"""
 
+_BLANK = r"[\s\x{a0}]"
+_MISSING = r"({0} IS NULL OR lower(regexp_replace({0}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')) IN ('', 'nan', 'none', 'null'))"
+
+
+def _tidy(c: str) -> str:
+    return f"lower(regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g'))"
+
+
+_GROUPS = f"""
+rows AS (
+  SELECT sample_id, CASE WHEN NOT {_MISSING.format('speaker_id')} THEN regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(speaker_id, '{_BLANK}+', '', 'g')), '^([^:]+):+(?:speaker:+)?', '\\1::'), '\\.0*$', ''), '::0+([0-9])', '::\\1') END s,
+    CASE WHEN NOT {_MISSING.format('source_file')} THEN regexp_replace(regexp_replace({_tidy('source_file')}, '[\\\\/]+', '/', 'g'), '^(\\./)+', '') END f, {_tidy('split')} p FROM manifest),
+star AS (SELECT f, min(s) m FROM rows WHERE f IS NOT NULL AND s IS NOT NULL GROUP BY f),
+edge AS (SELECT DISTINCT s a, m b FROM rows JOIN star USING (f) WHERE s <> m),
+both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge)"""
+
+
+def broken_groups(con) -> set[str]:
+    """sample_id of p6_found, by a union of speakers outside SQL; con: a DuckDB connection with the table manifest."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in con.execute(f"WITH {_GROUPS} SELECT a, b FROM edge").fetchall():
+        root[find(a)] = find(b)
+    rows = con.execute(f"WITH {_GROUPS} SELECT sample_id, coalesce(s, m), f, p FROM rows LEFT JOIN star USING (f)").fetchall()
+    seen: dict[str, set[str]] = {}
+    group = lambda i, s, f: f"s{find(s)}" if s else f"f{f}" if f else f"r{i}"
+    for i, s, f, p in rows:
+        if p in ("train", "dev", "test"):
+            seen.setdefault(group(i, s, f), set()).add(p)
+    return {i for i, s, f, _ in rows if len(seen.get(group(i, s, f), ())) > 1}
+
+
 SQL: dict[str, str] = {
     "p4_found": f"WITH {_OVERLAP} SELECT id_a, id_b FROM found",
+    "p5_found": f"""SELECT t.cell_id FROM sample_targets t LEFT JOIN (SELECT DISTINCT sample_id, {_tidy('language')} l, {_tidy('label')} k, CASE WHEN NOT {_MISSING.format('generator')} THEN {_tidy('generator')} END g FROM manifest WHERE sample_id IS NOT NULL) m
+      ON lower(t.language) = l AND t.label = k AND lower(t.generator) IS NOT DISTINCT FROM g GROUP BY t.cell_id, min_rows, target_share, sample_size HAVING count(m.sample_id) < greatest(min_rows, round(target_share * sample_size))""",
     "p4_report": f"""WITH {_OVERLAP},
 ends AS (SELECT id, count(*) k FROM (SELECT id_a id FROM found UNION ALL SELECT id_b FROM found) GROUP BY 1),
 mine AS (SELECT DISTINCT id, lower(trim(split)) AS split, source FROM baseline_rows WHERE lower(trim(split)) IN ('dev', 'test'))
