@@ -2,8 +2,8 @@
 
 The category moments (distinct records of each cell) are aggregated over the cluster; on these few numbers Newton iterations
 on the dual of exponential tilting find the size drawn from each cell: cells keep within their floor and their supply, and
-what scarce cells can't give moves to others so that the shares of languages, labels and generators stay as near their
-targets as supply allows. With the resulting probabilities records are drawn by the pivotal method, block by block and then
+what scarce cells can't give moves to the others in proportion to their targets, which of all ways keeps the shares nearest
+to the targets (in relative entropy). Where margins are named, their shares are held too, at the cost of single cells'. With the resulting probabilities records are drawn by the pivotal method, block by block and then
 among the one open record that each block leaves of a cell, so that each cell's size comes out exactly.
 """
 
@@ -41,9 +41,10 @@ def tilt(supply: np.ndarray, share: np.ndarray, floor: np.ndarray, size: int, ca
         return high
     if low.sum() >= size:  # floors alone are too many: share the size out among them
         return low * size / low.sum()
-    marks = np.concatenate([(c[:, None] == np.unique(c)[None, :]).astype(float) for c in categories], 1)
+    marks = np.concatenate([(c[:, None] == np.unique(c)[None, :]).astype(float) for c in [np.zeros(len(supply), int), *categories]], 1)
     can, must = marks.T @ high, marks.T @ low
     goal = np.clip(marks.T @ wanted, must, can)
+    goal[0] = size
     base = np.maximum(wanted, TINY)
     dual = np.zeros(marks.shape[1])
     drawn = lambda d: np.clip(base * np.exp(np.clip(marks @ d, -30, 30)), low, high)
@@ -82,7 +83,7 @@ def whole(n: np.ndarray, supply: np.ndarray) -> np.ndarray:
     return out
 
 
-def plan(records: DataFrame, cells: DataFrame, margins: tuple[str, ...] = ("language", "label", "generator")) -> tuple[pd.DataFrame, DataFrame]:
+def plan(records: DataFrame, cells: DataFrame, margins: tuple[str, ...] = ()) -> tuple[pd.DataFrame, DataFrame]:
     """The cells with what they hold, want and give, and the members. Only one number per cell comes to the driver."""
     held = durable(members(records, cells))
     counts = {r["cell_id"]: r["n"] for r in held.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).collect()}
