@@ -23,8 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # every edge now points from a larger to a smaller node
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # every edge now points from a larger to a smaller node; equal ones fall together at the end of the round
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
         now = durable(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
