@@ -105,7 +105,8 @@ class Shard:
         held = numbers > 0
         self.holds = np.unique(np.repeat(np.arange(len(rows)), lengths)[held] * np.int64(len(self.names)) + numbers[held])
 
-    def search(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def search(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The pairs of these training sequences, in portions of bounded size."""
         index, lengths = self.index, rows["symbols"].map(len).to_numpy()
         flat = np.array([s or b"" for q in rows["symbols"] for s in q], dtype="S33")
         number = np.minimum(np.searchsorted(self.names, flat), len(self.names) - 1)
@@ -114,37 +115,42 @@ class Shard:
         at = np.arange(len(flat)) + np.repeat(np.arange(1, len(rows) + 1), lengths)
         query = np.zeros(len(flat) + len(rows) + 1, np.int64)
         query[at] = number
-        owner = np.repeat(np.arange(len(rows)), lengths)
-        begin = np.cumsum(lengths) - lengths
+        owner, begin = np.repeat(np.arange(len(rows)), lengths), np.cumsum(lengths) - lengths
         live = np.flatnonzero(number > 0)
         low, high = index.back(number[live], np.zeros(len(live), np.int64), np.full(len(live), len(index.text)))
         anchored = np.concatenate([np.asarray(a, bool) for a in rows["anchors"]])[live]
         # all occurrences of an own anchor; of other symbols those that are anchors over there
-        a_low, a_high = np.searchsorted(self.anchor_rows, low), np.searchsorted(self.anchor_rows, high)
-        parts = []
-        for mine, lo, hi in ((anchored, low, high), (~anchored, a_low, a_high)):
-            who, lo, hi = live[mine], lo[mine], hi[mine]
-            edges = np.concatenate([[0], np.cumsum(hi - lo)])
-            k = 0
-            while k < len(who):
-                stop = max(k + 1, int(np.searchsorted(edges, edges[k] + STEP, "right")) - 1)
-                row, of = _spread(lo[k:stop], hi[k:stop])
-                if mine is not anchored:
-                    row = self.anchor_rows[row]
-                place = who[k:stop][of]
+        low = np.where(anchored, low, np.searchsorted(self.anchor_rows, low))
+        high = np.where(anchored, high, np.searchsorted(self.anchor_rows, high))
+        done = np.concatenate([[0], np.cumsum(high - low)])
+        first, last = np.searchsorted(owner[live], np.arange(len(rows))), np.searchsorted(owner[live], np.arange(len(rows)), "right")
+        k = 0
+        while k < len(rows):
+            # as many whole sequences as have about STEP occurrences together
+            stop = k + 1
+            while stop < len(rows) and done[last[stop]] - done[first[k]] <= STEP:
+                stop += 1
+            mine = slice(first[k], last[stop - 1])
+            row, of = _spread(low[mine], high[mine])
+            if len(row):
+                of = of + first[k]
+                row = np.where(anchored[of], row, self.anchor_rows[np.minimum(row, len(self.anchor_rows) - 1)] if len(self.anchor_rows) else row)
+                place = live[of]
                 length = index.matches(row, query, at[place])
-                parts.append(pd.DataFrame({"t": owner[place], "e": index.owner[index.rows[row]], "length": length}).groupby(["t", "e"], as_index=False)["length"].max())
-                k = stop
-        if not parts:
-            return pd.DataFrame({"t": [], "e": [], "length": []})
-        pairs = pd.concat(parts).groupby(["t", "e"], as_index=False)["length"].max()
+                spans = pd.DataFrame({"t": owner[place], "e": index.owner[index.rows[row]], "length": length})
+                yield self._verified(rows, spans.groupby(["t", "e"], as_index=False)["length"].max(), number, begin, lengths)
+            k = stop
+
+    def _verified(self, rows: pd.DataFrame, pairs: pd.DataFrame, number: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> pd.DataFrame:
+        """Exact counts of the shared symbols of each pair; pairs that share too few are left out."""
         t, e = pairs["t"].to_numpy(), pairs["e"].to_numpy()
         shared = np.zeros(len(pairs), np.int64)
-        for k in range(0, len(pairs), STEP):
-            place, of = _spread(begin[t[k : k + STEP]], (begin + lengths)[t[k : k + STEP]])
-            key = e[k : k + STEP][of] * np.int64(len(self.names)) + number[place]
+        for k in range(0, len(pairs), STEP // 4):
+            upto = k + STEP // 4
+            place, of = _spread(begin[t[k:upto]], (begin + lengths)[t[k:upto]])
+            key = e[k:upto][of] * np.int64(len(self.names)) + number[place]
             hit = np.minimum(np.searchsorted(self.holds, key), len(self.holds) - 1)
-            shared[k : k + STEP] = np.bincount(of[(self.holds[hit] == key) & (number[place] > 0)], minlength=len(shared[k : k + STEP]))
+            shared[k:upto] = np.bincount(of[(self.holds[hit] == key) & (number[place] > 0)], minlength=len(shared[k:upto]))
         n_t, n_e = rows["n"].to_numpy()[t], self.sizes[e]
         out = pd.DataFrame({"train_id": rows["id"].to_numpy()[t], "eval_id": self.ids[e], "kind": self.kinds[e], "shared": shared, "n_train": n_t, "n_eval": n_e, "longest": pairs["length"].to_numpy()})
         return out[(shared * 2 >= np.minimum(n_t, n_e)) & (out["train_id"] != out["eval_id"])]
@@ -164,7 +170,8 @@ def _search_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if ready is None and waiting:
                     ready, waiting = Shard(pd.concat(waiting, ignore_index=True)), []
                 if ready is not None:
-                    yield ready.search(group[~is_eval].reset_index(drop=True)).astype(_TYPES)
+                    for found in ready.search(group[~is_eval].reset_index(drop=True)):
+                        yield found.astype(_TYPES)
 
 
 _FOUND = "train_id string, eval_id string, kind int, shared bigint, n_train bigint, n_eval bigint, longest bigint"
@@ -181,8 +188,10 @@ def postings(records: DataFrame, windows: DataFrame) -> DataFrame:
     alone = mine.select("id", "is_train", F.explode(F.array(F.struct(F.lit(AUDIO).alias("kind"), symbol(AUDIO, F.col("a")).alias("symbol")), F.struct(F.lit(MODEL_WINDOW).alias("kind"), symbol(MODEL_WINDOW, F.col("w")).alias("symbol")))).alias("s"))
     alone = alone.select("id", "is_train", "s.kind", F.lit(0).alias("place"), "s.symbol").where("symbol IS NOT NULL").distinct()
     digest = digest_key(F.col("window_sha256"))
-    inside = windows.where("id IS NOT NULL").select(F.col("id"), F.coalesce("window_index", F.lit(0)).alias("place"), symbol(WINDOWS, digest).alias("symbol")).where("symbol IS NOT NULL")
-    inside = inside.groupBy("id", "symbol").agg(F.min("place").alias("place")).join(mine.select("id", "is_train").distinct(), "id")
+    inside = windows.where("id IS NOT NULL").select("id", F.coalesce("window_index", F.lit(0)).alias("place"), symbol(WINDOWS, digest).alias("symbol")).where("symbol IS NOT NULL")
+    # by id once: the distinct windows of an id are found where the join has put them
+    sides = mine.groupBy("id").agg(F.collect_set("is_train").alias("sides"))
+    inside = inside.join(sides, "id").select("id", F.explode("sides").alias("is_train"), "place", "symbol").groupBy("id", "is_train", "symbol").agg(F.min("place").alias("place"))
     return alone.unionByName(inside.select("id", "is_train", F.lit(WINDOWS).alias("kind"), "place", "symbol"))
 
 
