@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +39,33 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        else:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder, so that the loss of an executor loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of df, computed once and kept as a table in the shared folder, so that the loss of an executor loses nothing.
+
+    A written table is smaller than a checkpoint, and its size is known to the optimizer. It goes when the driver ends, or by release()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/sonoplan/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table of durable(); nothing that reads it may still be open."""
+    _delete(df.sparkSession, df.kept_at)
 
 
 def partitions(spark: SparkSession) -> int:
