@@ -121,3 +121,32 @@ def sorted_keys(space: str, *parts: Column) -> Column:
 
 def verdict(score: Column, threshold: float = 0.5, margin: float = 0.1) -> Column:
     return F.when(F.abs(score - F.lit(threshold)) < margin, "inconclusive").when(score >= threshold, "synthetic").otherwise("genuine")
+
+
+def blob_digest(c: Column) -> Column:
+    """SHA-1 that a version control system gives a file of these bytes: of `blob`, the length, a zero byte and the bytes."""
+    data = c.cast("binary")
+    head = F.concat(F.lit("blob "), F.octet_length(c).cast("string")).cast("binary")
+    return F.sha1(F.concat(head, F.unhex(F.lit("00")), data))
+
+
+def contract_reason(split_letter: str) -> dict[str, Column]:
+    """What is wrong with a row of the challenge corpus (key, audio_file_name, speaker_id, system_id), in order."""
+    name, who, system, key = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("audio_file_name", "speaker_id", "system_id", "key"))
+    return {
+        "label": ~key.isin("0", "1"), "id": ~name.rlike(f"^LA_{split_letter}_[0-9]{{7}}$"), "speaker": ~who.rlike("^LA_[0-9]{4}$"),
+        "attack": F.when(key == "0", system != "-").otherwise(~system.rlike("^A[0-9]{2}$")),
+    }
+
+
+def header_reason(seconds: tuple[float, float], rates: tuple[int, int], channels: tuple[int, int]) -> dict[str, Column]:
+    """What puts an audio header (duration, sample_rate, channels) out of bounds, in order; an unknown value is out of bounds."""
+    out = lambda c, b: ~F.coalesce(F.col(c).between(*b), F.lit(False))
+    return {"sample_rate": out("sample_rate", rates), "channels": out("channels", channels), "duration": out("duration", seconds)}
+
+
+def score_reason() -> dict[str, Column]:
+    """What is wrong with a scored clip (synthetic_score, threshold, duration_seconds, window_start_seconds, window_seconds), in order."""
+    bad = lambda c, low, high: ~F.coalesce(F.col(c).between(low, high), F.lit(False)) | F.isnan(c)
+    end = F.col("window_start_seconds") + F.col("window_seconds")
+    return {"score": bad("synthetic_score", 0.0, 1.0), "threshold": bad("threshold", 0.0, 1.0), "duration": bad("duration_seconds", 0.0, 1e9), "window": bad("window_start_seconds", 0.0, 1e9) | bad("window_seconds", 0.0, 1e9) | (end > F.col("duration_seconds") + 1e-6)}

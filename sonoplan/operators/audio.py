@@ -159,3 +159,11 @@ class SegmentWaveform:
 
 
 WAVE = T.ArrayType(T.FloatType())
+
+
+def window_features(clips: DataFrame, window: int = 4 * RATE, most: int = 120 * RATE) -> DataFrame:
+    """path, place, n_frames, feature, sha of each consecutive window of each decoded clip; clips with an error give none."""
+    good = clips.where("audio_error IS NULL")
+    flat = good.select("path", F.posexplode(waveform.consecutive(F.col("samples"), window, most)).alias("place", "w"))
+    named = flat.select(F.concat_ws("#", "path", F.col("place").cast("string")).alias("id"), "w")
+    return log_mels(named, "id", "w").select(F.regexp_replace("id", "#[0-9]+$", "").alias("path"), F.regexp_extract("id", "#([0-9]+)$", 1).cast("int").alias("place"), "n_frames", "feature", "sha")

@@ -134,3 +134,10 @@ def content_identity(df: DataFrame, key: str) -> DataFrame:
     sums = df.select(row.alias("h")).groupBy(group.alias("g")).agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n"))
     line = F.concat_ws(":", "g", F.col("s").cast("string"), F.col("n"))
     return sums.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"))
+
+
+def logit_losses(df: DataFrame, logit: str = "logit") -> DataFrame:
+    """Mean binary cross-entropy of logits and accuracy of their signs; stable for large logits."""
+    z, y = F.col(logit), F.col("label")
+    loss = F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z)))
+    return df.where(z.isNotNull() & y.isNotNull()).agg(F.avg(loss).alias("loss"), F.avg(F.when((z > 0).cast("int") == y, 1.0).otherwise(0.0)).alias("accuracy"))

@@ -122,6 +122,11 @@ def q63_pooled(spark, folder):
     return _round(metrics.pooled(rows, "recording", "w"), "value")
 
 
+@query(f"WITH {_CLIPS}, p AS (SELECT vec_id, w, (('0x' || substr(sha256(vec_id::VARCHAR), 1, 8))::BIGINT % (n - 20 + 1)) s FROM clips) SELECT vec_id, round({_SUM.format('w[s + 1:s + 20]')}, 7) total FROM p")
+def q84_hashed_crop(spark, folder):
+    return _clips(spark, folder).select("vec_id", F.round(_sum(waveform.hashed_crop(F.col("w"), 20, F.col("vec_id"))), 7).alias("total"))
+
+
 # graph, sampling -----------------------------------------------------------------------------------------------------
 
 

@@ -433,9 +433,9 @@ def q43_rates(spark, folder):
     return _round(metrics.derived(metrics.confusion(predictions(spark, folder))), *_RATES_OUT)
 
 
-@query(f"WITH {PREDICTIONS}, c AS (SELECT {_COUNTS} FROM preds WHERE score < 0.2) SELECT tp + tn AS hits, round((tp + tn) / greatest(tn + fp + fn + tp, 1), 9) accuracy, round(tp / greatest(tp + fp, 1), 9) AS precision, round(tp / greatest(tp + fn, 1), 9) recall, round(2 * tp / greatest(2 * tp + fp + fn, 1), 9) f1 FROM c")
+@query(f"WITH {PREDICTIONS}, c AS (SELECT {_COUNTS} FROM preds) SELECT tp + tn AS hits, round((tp + tn) / greatest(tn + fp + fn + tp, 1), 9) accuracy, round(tp / greatest(tp + fp, 1), 9) AS precision, round(tp / greatest(tp + fn, 1), 9) recall, round(2 * tp / greatest(2 * tp + fp + fn, 1), 9) f1 FROM c")
 def q44_rates_zero_default(spark, folder):
-    return _round(metrics.zero_defaults(metrics.confusion(predictions(spark, folder).where("score < 0.2"))), "accuracy", "precision", "recall", "f1")
+    return _round(metrics.zero_defaults(metrics.confusion(predictions(spark, folder))), "accuracy", "precision", "recall", "f1")
 
 
 _AUC = "SELECT {by} (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0) v FROM (SELECT *, rank() OVER ({part} ORDER BY score) + (count(*) OVER (PARTITION BY {by} score) - 1) / 2 r FROM preds)"
@@ -507,3 +507,20 @@ def q78_content_identity(spark, folder):
     return metrics.content_identity(table(spark, folder, "baseline_rows").drop("added_at").distinct(), "id")
 
 
+
+
+@query(f"""WITH {SAMPLES} SELECT CASE WHEN sample_rate IS NULL OR sample_rate NOT BETWEEN 8000 AND 192000 THEN 'sample_rate' WHEN duration IS NULL OR duration NOT BETWEEN 1 AND 30 THEN 'duration' END reason, count(*) n FROM samples GROUP BY 1""")
+def q81_header_bounds(spark, folder):
+    rows = samples(spark, folder).withColumn("channels", F.lit(1))
+    return rows.groupBy(checks.first_reason(f.header_reason((1.0, 30.0), (8000, 192000), (1, 8))).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT sample_id, sha1(encode('blob ' || octet_length(encode(source_file)) || chr(0) || source_file)) AS blob FROM manifest WHERE source_file IS NOT NULL")
+def q82_blob_digests(spark, folder):
+    return table(spark, folder, "manifest").where("source_file IS NOT NULL").select("sample_id", f.blob_digest(F.col("source_file")).alias("blob"))
+
+
+@query(f"WITH {PREDICTIONS}, z AS (SELECT label, 8 * (score - 0.5) z FROM preds) SELECT round(avg(greatest(z, 0) - z * label + ln(1 + exp(-abs(z)))), 9) loss, round(avg(CASE WHEN (z > 0)::INT = label THEN 1.0::DOUBLE ELSE 0 END), 9) accuracy FROM z")
+def q83_logit_losses(spark, folder):
+    rows = predictions(spark, folder).withColumn("logit", 8 * (F.col("score") - 0.5))
+    return _round(metrics.logit_losses(rows), "loss", "accuracy")

@@ -197,3 +197,31 @@ def source_probe(spark: SparkSession, cells: dict[tuple[str, str], str]) -> Data
 
 def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, indent=2, allow_nan=False, ensure_ascii=False) + "\n"
+
+
+def archive_members(spark: SparkSession, path: str, suffix: str, done: DataFrame | None = None) -> DataFrame:
+    """archive, member, content of the files with this suffix in tar archives, compressed ones too, one task per archive; members that `done` (archive, member) holds are left out, and so are other kinds of members."""
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import tarfile
+
+        for b in batches:
+            for file, content in zip(b["path"], b["content"]):
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+                    for m in tar:
+                        if m.isfile() and m.name.lower().endswith(suffix):
+                            yield pd.DataFrame({"archive": [file], "member": [m.name], "content": [tar.extractfile(m).read()]})
+
+    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
+    return out if done is None else out.join(done.select("archive", "member"), ["archive", "member"], "left_anti")
+
+
+def enriched_plan(inventory: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """Metadata with its inventory's columns; both must name the same keys, each once."""
+    from sonoplan.operators.checks import bijection
+
+    wrong = bijection(inventory, metadata, key).where("n > 0").collect()
+    if wrong:
+        raise ValueError(f"inventory and metadata differ: {[tuple(r) for r in wrong]}")
+    return metadata.join(inventory, key)

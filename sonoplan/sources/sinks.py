@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoplan.operators import balance, checks
+from sonoplan.operators import balance, checks, metrics
 from sonoplan.operators.audio import encode_wav
 from sonoplan.sources.metadata import MANIFEST, canonical_json
 
@@ -59,8 +59,21 @@ def write_reports(df: DataFrame, folder: str) -> None:
     write_json(f"{folder.removeprefix('file://')}/summary.json", {"duration": stats})
 
 
-def write_metrics(values: dict[str, float | None], folder: str) -> None:
-    write_json(f"{folder}/metrics.json", values)
+def write_metrics(scored: DataFrame, folder: str) -> None:
+    """metrics.json, and the tables metrics, per_class, calibration_bins, roc_points and precision_recall_points of (label, score) as CSV; an existing folder is an error."""
+    scores = metrics.score_table(scored)
+    row = metrics.derived(metrics.confusion(scored)).crossJoin(metrics.roc_auc(scores)).crossJoin(metrics.average_precision(scores)).crossJoin(metrics.probability_losses(scored)).crossJoin(metrics.calibration_error(metrics.reliability(scored)))
+    values = row.first().asDict()
+    spark = scored.sparkSession
+    write_csv(spark.createDataFrame([(k, None if v is None else float(v)) for k, v in values.items()], "metric string, value double"), f"{folder}/metrics", ["metric"])
+    tn, fp, fn, tp = (values[k] for k in ("tn", "fp", "fn", "tp"))
+    share = lambda a, b: a / b if b else None
+    classes = [("genuine", share(tn, tn + fn), share(tn, tn + fp), share(2 * tn, 2 * tn + fn + fp), tn + fp), ("synthetic", share(tp, tp + fp), share(tp, tp + fn), share(2 * tp, 2 * tp + fp + fn), tp + fn)]
+    write_csv(spark.createDataFrame(classes, "class_name string, precision double, recall double, f1 double, support bigint"), f"{folder}/per_class", ["class_name"])
+    write_csv(metrics.reliability(scored), f"{folder}/calibration_bins", ["bin"])
+    write_csv(metrics.roc_points(scores), f"{folder}/roc_points", ["threshold"])
+    write_csv(metrics.pr_points(scores), f"{folder}/precision_recall_points", ["threshold"])
+    write_json(f"{folder.removeprefix('file://')}/metrics.json", values)
 
 
 def write_audio(df: DataFrame, folder: str, key: str, samples: str, rate: int) -> DataFrame:

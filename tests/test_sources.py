@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonoplan.operators import audio, sampling
+from sonoplan.functions import fields
+from sonoplan.operators import audio, checks, sampling
 from sonoplan.sources import metadata, sinks
 from sonoplan.streaming import streams
 
@@ -139,3 +140,42 @@ def test_greedy_plan_keeps_its_limits(spark):
     spoof = got[got.label == "spoof"]
     assert spoof.groupby("generator").duration.sum().max() <= 0.6 * spoof.duration.sum() + 1e-9
     assert sampling.greedy_plan(df.limit(0), [("bonafide", "hi")], budget).count() == 0
+
+
+def test_archives_and_features(spark, tmp_path):
+    import io
+    import tarfile
+
+    data = audio.encode_wav(np.full(70000, 0.1, np.float32), 16000)
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        for name, content in (("x/one.wav", data), ("x/readme.txt", b"no")):
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            tar.addfile(info, io.BytesIO(content))
+    found = metadata.archive_members(spark, str(tmp_path / "a.tar.gz"), ".wav")
+    assert [r.member for r in found.select("member").collect()] == ["x/one.wav"]
+    assert metadata.archive_members(spark, str(tmp_path / "a.tar.gz"), ".wav", found.select("archive", "member")).count() == 0
+    clips = audio.decoded(found.select(F.col("member").alias("path"), "content"))
+    rows = {r.place: r.n_frames for r in audio.window_features(clips).collect()}
+    assert rows == {0: 401, 1: 401}
+
+
+def test_reasons_and_plans(spark):
+    rows = [(0, "LA_T_0000001", "LA_0001", "-"), (1, "LA_T_0000002", "LA_0001", "A01"), (1, "LA_T_0000003", "LA_0001", "-"), (1, "LA_D_0000003", "LA_0001", "A01"), (None, "LA_T_0000003", "LA_0001", "A01"), (1, "LA_T_0000003", "x", "A01")]
+    df = spark.createDataFrame(rows, "key int, audio_file_name string, speaker_id string, system_id string")
+    assert [r[0] for r in df.select(checks.first_reason(fields.contract_reason("T"))).collect()] == [None, None, "attack", "id", "label", "speaker"]
+    scores = spark.createDataFrame([(0.5, 0.5, 10.0, 2.0, 4.0), (1.5, 0.5, 10.0, 2.0, 4.0), (float("nan"), 0.5, 10.0, 2.0, 4.0), (0.5, 0.5, 5.0, 2.0, 4.0), (None, 0.5, 5.0, 2.0, 4.0)], "synthetic_score double, threshold double, duration_seconds double, window_start_seconds double, window_seconds double")
+    assert [r[0] for r in scores.select(checks.first_reason(fields.score_reason())).collect()] == [None, "score", "score", "window", "score"]
+    inventory, known = spark.createDataFrame([("a", 1), ("b", 2)], "path string, size int"), spark.createDataFrame([("a", "x"), ("b", "y")], "path string, text string")
+    assert metadata.enriched_plan(inventory, known, "path").count() == 2
+    with pytest.raises(ValueError):
+        metadata.enriched_plan(inventory, known.limit(1), "path")
+
+
+def test_metric_files(spark, tmp_path):
+    scored = spark.createDataFrame([(0, 0.1), (0, 0.6), (1, 0.4), (1, 0.9)], "label int, score double")
+    sinks.write_metrics(scored, str(tmp_path / "m"))
+    assert json.loads((tmp_path / "m/metrics.json").read_text())["roc_auc"] == 0.75
+    assert spark.read.option("header", True).csv(str(tmp_path / "m/per_class")).count() == 2
+    with pytest.raises(Exception):
+        sinks.write_metrics(scored, str(tmp_path / "m"))
