@@ -30,7 +30,7 @@ def build_session(master: str = "local[8]", partitions: int = 8, **extra: str) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where none is set (tests, one machine)."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         present = context._jsc.sc().getCheckpointDir()
         named = present.get() if present.isDefined() else f"file://{tempfile.mkdtemp(prefix='sonoplan-')}"

@@ -7,9 +7,9 @@ adds nothing.
 from __future__ import annotations
 
 import glob
-import hashlib
 import json
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,7 +36,7 @@ def _work(spark: SparkSession) -> str:
     local = base.removeprefix("file://")
     if base.startswith("file://") or base.startswith("/"):
         return f"file://{tempfile.mkdtemp(prefix='stream-', dir=_made(local))}"
-    return f"{base}/stream-{hashlib.sha256(str(id(base)).encode()).hexdigest()[:8]}"
+    return f"{base}/stream-{uuid.uuid4().hex}"
 
 
 def _made(path: str) -> str:
