@@ -150,3 +150,9 @@ def score_reason() -> dict[str, Column]:
     bad = lambda c, low, high: ~F.coalesce(F.col(c).between(low, high), F.lit(False)) | F.isnan(c)
     end = F.col("window_start_seconds") + F.col("window_seconds")
     return {"score": bad("synthetic_score", 0.0, 1.0), "threshold": bad("threshold", 0.0, 1.0), "duration": bad("duration_seconds", 0.0, 1e9), "window": bad("window_start_seconds", 0.0, 1e9) | bad("window_seconds", 0.0, 1e9) | (end > F.col("duration_seconds") + 1e-6)}
+
+
+def record_json(df_types: list[tuple[str, str]], digits: int = 12) -> Column:
+    """The row as JSON: doubles rounded, NaN and infinities as null."""
+    fine = lambda n: F.when(~F.isnan(n) & (F.abs(n) < float("inf")), F.round(n, digits))
+    return F.to_json(F.struct(*((fine(n) if t in ("double", "float") else F.col(n)).alias(n) for n, t in df_types)), {"ignoreNullFields": "false"})

@@ -163,3 +163,12 @@ def byte_budget(units: DataFrame, shares: dict[str, float], budget: int) -> Data
         return pd.DataFrame(out, columns=["split", "unit", "picked", "estimated_bytes"])
 
     return units.groupBy("split").applyInPandas(pick, "split string, unit string, picked int, estimated_bytes bigint")
+
+
+def shard_plan(files: DataFrame, by: list[str], path: str, size: str, per: int, most: int, seed: str) -> DataFrame:
+    """`per` files of each stratum in hash order; more bytes than `most` in all is an error."""
+    chosen = quota(files, by, path, per, seed)
+    total = chosen.agg(F.coalesce(F.sum(size), F.lit(0)).alias("s")).first()["s"]
+    if total > most:
+        raise ValueError(f"the plan has {total} bytes; at most {most} may be read")
+    return chosen

@@ -76,3 +76,26 @@ def component_split(df: DataFrame, node: str, shared: list[str], seed: str, trai
     return named.withColumn("new_split", thirds(bucket(seed, F.col("root")), train, dev))
 
 
+
+
+def first_wins_all(df: DataFrame, key: str, keys: list[str], priority: Column) -> DataFrame:
+    """df's rows that a walk in the order of (priority, key) keeps when it drops each row one of whose keys a kept row has. key is unique; null keys match nothing.
+
+    Exactly the walk's result, without the walk: in each round the rows that come first for all their keys are kept, and those
+    that share a key with them are dropped. Rounds are as many as the longest chain of such decisions."""
+    slim = df.select(F.col(key).alias("__id"), F.struct(priority.alias("p"), F.col(key).alias("i")).alias("__o"), *(F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)))
+    names = [f"__k{n}" for n in range(len(keys))]
+    open_, kept = durable(slim), None
+    while not open_.isEmpty():
+        judged, first = open_, F.lit(True)
+        for n in names:
+            least = open_.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("__o").alias(f"__m{n}"))
+            judged = judged.join(least, n, "left")
+            first = first & (F.col(n).isNull() | (F.col("__o") == F.col(f"__m{n}")))
+        winners = durable(judged.where(first).select("__id", *names))
+        rest = open_.join(winners.select("__id"), "__id", "left_anti")
+        for n in names:
+            rest = rest.join(winners.where(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti")
+        open_ = durable(rest.select("__id", "__o", *names))
+        kept = winners.select("__id") if kept is None else kept.unionByName(winners.select("__id"))
+    return df.limit(0) if kept is None else df.join(kept, F.col(key) == F.col("__id"), "left_semi")

@@ -103,3 +103,11 @@ def clipped(w: Column) -> Column:
 def pcm16(w: Column) -> Column:
     """16-bit values of the clipped samples, never scaled to the peak."""
     return F.transform(clipped(w), lambda x: F.floor(x.cast("double") * 32767 + 0.5).cast("int"))
+
+
+def mono_of_layout(w: Column) -> Column:
+    """One channel of a two-dimensional clip in either layout: the shorter side is taken for the channels, samples first if both are equal."""
+    rows, columns = F.size(w), F.size(w[0])
+    by_sample = F.transform(w, lambda s: F.aggregate(s, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")) / F.size(s))
+    by_channel = mono(F.transform(w, lambda ch: F.transform(ch, lambda x: x.cast("double"))))
+    return F.when(rows >= columns, by_sample).otherwise(by_channel)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sonoplan.functions import fields as f
 
+from sonoplan.functions.text import digest_key
 from sonoplan.operators import audit, balance, checks, metrics, sampling, splits
 from sonoplan.plans.views import PREDICTIONS, SAMPLES, bucket_sql, language_sql, predictions, samples, scalar_sql, tidy_sql
 from sonoplan.sources.metadata import lookup
@@ -524,3 +525,10 @@ def q82_blob_digests(spark, folder):
 def q83_logit_losses(spark, folder):
     rows = predictions(spark, folder).withColumn("logit", 8 * (F.col("score") - 0.5))
     return _round(metrics.logit_losses(rows), "loss", "accuracy")
+
+
+@query()
+def q85_two_key_walk(spark, folder):
+    """Recordings that stay when copies by bytes or by window are dropped, test before dev before train. (Sequential in SQL; tested against the walk.)"""
+    rows = table(spark, folder, "baseline_rows").select("id", "split", digest_key(F.col("audio_sha256")).alias("a"), digest_key(F.col("window_sha256")).alias("w")).dropDuplicates(["id"])
+    return splits.first_wins_all(rows, "id", ["a", "w"], F.expr(_PRIORITY))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonoplan.functions import fields, text
-from sonoplan.operators import audio, metrics, quality, skew, splits, waveform
+from sonoplan.operators import audio, metrics, quality, sampling, skew, splits, waveform
 from sonoplan.operators.graph import connected_components
 
 
@@ -258,3 +258,29 @@ def test_wav_round_trip_and_resampling():
     with pytest.raises(ValueError):
         audio.encode_wav(np.array([np.nan]), 16000)
     assert audio.log_mel(np.tile(tone, 4)).shape == (64, 401)
+
+
+def test_two_key_walk(spark):
+    rng = random.Random(13)
+    rows = [(f"r{k:03d}", rng.randrange(3), rng.choice([None, *range(40)]), rng.choice([None, *range(60)])) for k in range(150)]
+    df = spark.createDataFrame(rows, "id string, p int, a int, w int")
+    kept, seen_a, seen_w = set(), set(), set()
+    for i, p, a, w in sorted(rows, key=lambda r: (r[1], r[0])):
+        if (a is None or a not in seen_a) and (w is None or w not in seen_w):
+            kept.add(i)
+            seen_a.add(a)
+            seen_w.add(w)
+    assert {r.id for r in splits.first_wins_all(df, "id", ["a", "w"], F.col("p")).collect()} == kept
+    assert splits.first_wins_all(df.limit(0), "id", ["a", "w"], F.col("p")).count() == 0
+
+
+def test_layouts_and_records(spark):
+    tall, wide = [[1.0, 3.0], [2.0, 4.0], [5.0, 7.0]], [[1.0, 2.0, 5.0], [3.0, 4.0, 7.0]]
+    df = spark.createDataFrame([(1, tall), (2, wide)], "id int, w array<array<double>>")
+    assert all(r.m == [2.0, 3.0, 6.0] for r in df.select(waveform.mono_of_layout(F.col("w")).alias("m")).collect())
+    row = spark.createDataFrame([("a", float("nan"), 1 / 3, None)], "s string, x double, y double, z string")
+    assert row.select(fields.record_json(row.dtypes)).first()[0] == '{"s":"a","x":null,"y":0.333333333333,"z":null}'
+    files = spark.createDataFrame([(f"f{k}", "hi" if k % 2 else "pa", 10) for k in range(20)], "path string, language string, size bigint")
+    assert sampling.shard_plan(files, ["language"], "path", "size", 4, 100, "1").count() == 8
+    with pytest.raises(ValueError):
+        sampling.shard_plan(files, ["language"], "path", "size", 4, 50, "1")
