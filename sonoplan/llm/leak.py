@@ -21,7 +21,7 @@ _TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _HIDDEN = regex.compile(r"\p{Cf}+")
 _PLAIN = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
 #: Items are answered in blocks of about so many bytes of text, so that what each task holds of them is bounded.
-ITEM_BYTES, BLOCK_CHARS, STEP = 32_000_000, 4_000_000, 2_000_000
+ITEM_BYTES, BLOCK_CHARS, STEP = 4_000_000, 4_000_000, 2_000_000
 
 
 def terms(text: str | None) -> list[str]:
