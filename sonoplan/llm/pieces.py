@@ -1,7 +1,8 @@
 """Cutting of texts that have too many tokens.
 
 The least number of pieces that can hold what is left gives equal targets; each cut snaps to the strongest boundary near its
-target, and where none is near, to the nearest one that the limit allows, which may add a piece. Only where the limit allows
+target, or to a sentence's end farther off where that costs no piece; where no boundary is near, to the nearest one that the
+limit allows, which may add a piece. Only where the limit allows
 no boundary at all does a piece end between two tokens. A piece whose text alone has too many tokens is cut earlier.
 """
 
@@ -99,7 +100,9 @@ def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits) -> list[tuple[
                 target = min(target, high)
                 floor = max(last + 1, first + overlap + 1)
                 low = max(floor, min(total - (fewest - 1) * (most - overlap), high))
-                end = _choose(marks, max(low, target - limits.near), min(high, target + limits.near), target, WORD)
+                close = max(low, target - limits.near), min(high, target + limits.near)
+                # the end of a sentence or more near the target, or anywhere that takes no further piece; then any boundary
+                end = _choose(marks, *close, target, SENTENCE) or _choose(marks, low, high, target, SENTENCE) or _choose(marks, *close, target, WORD)
                 end = end or _choose(marks, floor, high, target, WORD) or _choose(marks, low, high, target, NONE) or _choose(marks, floor, high, target, NONE) or high
             a, b = char(first), char(end)
             if end <= last + 1 or len(enc.encode([text[a:b]])[0]) <= most:
