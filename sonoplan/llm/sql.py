@@ -58,6 +58,11 @@ SQL: dict[str, str] = {
     "p4_found": f"WITH {_OVERLAP} SELECT id_a, id_b FROM found",
     "p5_found": f"""SELECT t.cell_id FROM sample_targets t LEFT JOIN (SELECT DISTINCT sample_id, {_tidy('language')} l, {_tidy('label')} k, CASE WHEN NOT {_MISSING.format('generator')} THEN {_tidy('generator')} END g FROM manifest WHERE sample_id IS NOT NULL) m
       ON lower(t.language) = l AND t.label = k AND lower(t.generator) IS NOT DISTINCT FROM g GROUP BY t.cell_id, min_rows, target_share, sample_size HAVING count(m.sample_id) < greatest(min_rows, round(target_share * sample_size))""",
+    "p6_found": f"""WITH RECURSIVE {_GROUPS},
+walk AS (SELECT a node, b seen FROM both_ways UNION SELECT node, l.b FROM walk JOIN both_ways l ON seen = l.a),
+root AS (SELECT node, least(node, min(seen)) r FROM walk GROUP BY node),
+grouped AS (SELECT sample_id, coalesce('s ' || coalesce(r, coalesce(s, m)), 'f ' || f, 'r ' || sample_id) c, p FROM rows LEFT JOIN star USING (f) LEFT JOIN root ON node = coalesce(s, m) WHERE sample_id IS NOT NULL)
+SELECT DISTINCT sample_id FROM grouped WHERE c IN (SELECT c FROM grouped WHERE p IN ('train', 'dev', 'test') GROUP BY c HAVING count(DISTINCT p) > 1)""",
     "p4_report": f"""WITH {_OVERLAP},
 ends AS (SELECT id, count(*) k FROM (SELECT id_a id FROM found UNION ALL SELECT id_b FROM found) GROUP BY 1),
 mine AS (SELECT DISTINCT id, lower(trim(split)) AS split, source FROM baseline_rows WHERE lower(trim(split)) IN ('dev', 'test'))
