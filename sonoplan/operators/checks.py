@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def split_overlap(df: DataFrame, fields: list[str], split: str = "split") -> Dat
 def cell_counts(df: DataFrame, dims: list[str], levels: dict[str, list[str]], minimum: int, distinct: str) -> DataFrame:
     """All combinations of the levels with rows, distinct keys and whether they have enough; absent cells count 0."""
     spark = df.sparkSession
-    grid = reduce(lambda a, b: a.crossJoin(b), [spark.createDataFrame([(x,) for x in levels[d]], f"{d} string") for d in dims])
+    grid = spark.createDataFrame(list(product(*(levels[d] for d in dims))), ", ".join(f"{d} string" for d in dims))
     held = df.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(distinct).alias("k"))
     return F.broadcast(grid).join(held, dims, "left").select(*dims, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"), F.coalesce("k", F.lit(0)).cast("bigint").alias("n_distinct")).withColumn("enough", F.col("n_rows") >= minimum)
 

@@ -39,15 +39,17 @@ def inverse_weights(df: DataFrame, by: str) -> DataFrame:
 def class_draws(df: DataFrame, by: str, key: str, draws: int, seed: str) -> DataFrame:
     """draw_no, key: draws with replacement, each class equally likely, by hashed uniforms.
 
-    Each draw picks a class, then the row of that class whose hash is the first at or after the draw's own (circularly by 256 sectors)."""
+    Each draw picks a class, then a row of it by its rank in hash order. Classes are few; ranks within a class come from its rows' hash."""
     u = lambda c: F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("bigint")
-    classes = df.where(F.col(by).isNotNull()).select(by).distinct().withColumn("__c", F.row_number().over(W.orderBy(by)) - 1).withColumn("__m", F.count(F.lit(1)).over(W.partitionBy()))
+    n_classes = df.where(F.col(by).isNotNull()).agg(F.countDistinct(by)).first()[0]
+    classes = df.where(F.col(by).isNotNull()).select(by).distinct().withColumn("__c", F.row_number().over(W.orderBy(by)) - 1)
     rows = df.where(F.col(by).isNotNull()).select(by, key, u(F.concat(F.lit(f"{seed}:r:"), F.col(key).cast("string"))).alias("__u"))
     n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
     ranked = rows.withColumn("__at", F.row_number().over(W.partitionBy(by).orderBy("__u", key)) - 1)
     picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw_no").withColumn("__x", u(F.concat(F.lit(f"{seed}:d:"), F.col("draw_no").cast("string"))))
-    with_class = picks.crossJoin(F.broadcast(classes.agg(F.max("__m").alias("__m")))).withColumn("__c", F.col("__x") % F.col("__m")).join(F.broadcast(classes.select(by, "__c")), "__c").join(F.broadcast(n), by)
-    return with_class.withColumn("__at", F.floor(F.col("__x") / F.col("__m")) % F.col("__n")).join(ranked, [by, "__at"]).select("draw_no", by, key)
+    m = F.lit(max(1, n_classes))
+    with_class = picks.withColumn("__c", F.col("__x") % m).join(F.broadcast(classes), "__c").join(F.broadcast(n), by)
+    return with_class.withColumn("__at", F.floor(F.col("__x") / m) % F.col("__n")).join(ranked, [by, "__at"]).select("draw_no", by, key)
 
 
 @dataclass(frozen=True)

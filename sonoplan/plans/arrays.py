@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonoplan.functions.fields import bucket, thirds
 from sonoplan.operators import audio, metrics, sampling, splits, waveform
 from sonoplan.operators.graph import connected_components
 from sonoplan.plans.catalogue import _eligible, _round
-from sonoplan.plans.views import SAMPLES, samples
+from sonoplan.plans.views import SAMPLES, bucket_sql, samples
 from sonoplan.sources.metadata import row_groups
 from sonoplan.sources.tables import table
 from sonoplan.streaming import streams
@@ -130,6 +131,11 @@ def q84_hashed_crop(spark, folder):
 # graph, sampling -----------------------------------------------------------------------------------------------------
 
 
+_ROOTS = """RECURSIVE pairs AS (SELECT DISTINCT id, s FROM (SELECT id, unnest(speakers) s FROM baseline_rows)), star AS (SELECT s, min(id) b FROM pairs GROUP BY s), edge AS (SELECT DISTINCT p.id a, star.b FROM pairs p JOIN star USING (s) WHERE p.id <> star.b),
+  links AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge), walk AS (SELECT a node, b seen FROM links UNION SELECT w.node, l.b FROM walk w JOIN links l ON w.seen = l.a),
+  roots AS (SELECT id node, least(id, coalesce(min(seen), id)) root FROM (SELECT DISTINCT id FROM pairs) LEFT JOIN walk ON id = node GROUP BY id)"""
+
+
 def _speaker_roots(spark, folder) -> DataFrame:
     pairs = table(spark, folder, "baseline_rows").select("id", F.explode("speakers").alias("s")).distinct()
     star = pairs.groupBy("s").agg(F.min("id").alias("b"))
@@ -138,17 +144,15 @@ def _speaker_roots(spark, folder) -> DataFrame:
     return pairs.select(F.col("id").alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-@query()
+@query(f"WITH {_ROOTS} SELECT node, root FROM roots")
 def q64_components(spark, folder):
-    """Recordings that share a speaker, directly or through others. (As recursive SQL it takes all pairs of a component.)"""
+    """Recordings that share a speaker, directly or through others."""
     return _speaker_roots(spark, folder)
 
 
-@query()
+@query(f"WITH {_ROOTS} SELECT node, root, CASE WHEN {bucket_sql('42', 'root')} < 80 THEN 'train' WHEN {bucket_sql('42', 'root')} < 90 THEN 'dev' ELSE 'test' END new_split FROM roots")
 def q65_component_split(spark, folder):
     roots = _speaker_roots(spark, folder)
-    from sonoplan.functions.fields import bucket, thirds
-
     return roots.select("node", "root", thirds(bucket("42", F.col("root")), 80, 90).alias("new_split"))
 
 

@@ -62,8 +62,8 @@ def write_reports(df: DataFrame, folder: str) -> None:
 def write_metrics(scored: DataFrame, folder: str) -> None:
     """metrics.json, and the tables metrics, per_class, calibration_bins, roc_points and precision_recall_points of (label, score) as CSV; an existing folder is an error."""
     scores = metrics.score_table(scored)
-    row = metrics.derived(metrics.confusion(scored)).crossJoin(metrics.roc_auc(scores)).crossJoin(metrics.average_precision(scores)).crossJoin(metrics.probability_losses(scored)).crossJoin(metrics.calibration_error(metrics.reliability(scored)))
-    values = row.first().asDict()
+    parts = (metrics.derived(metrics.confusion(scored)), metrics.roc_auc(scores), metrics.average_precision(scores), metrics.probability_losses(scored), metrics.calibration_error(metrics.reliability(scored)))
+    values = {k: v for part in parts for k, v in part.first().asDict().items()}
     spark = scored.sparkSession
     write_csv(spark.createDataFrame([(k, None if v is None else float(v)) for k, v in values.items()], "metric string, value double"), f"{folder}/metrics", ["metric"])
     tn, fp, fn, tp = (values[k] for k in ("tn", "fp", "fn", "tp"))
