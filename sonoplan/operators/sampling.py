@@ -45,7 +45,11 @@ def class_draws(df: DataFrame, by: str, key: str, draws: int, seed: str) -> Data
     classes = df.where(F.col(by).isNotNull()).select(by).distinct().withColumn("__c", F.row_number().over(W.orderBy(by)) - 1)
     rows = df.where(F.col(by).isNotNull()).select(by, key, u(F.concat(F.lit(f"{seed}:r:"), F.col(key).cast("string"))).alias("__u"))
     n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = rows.withColumn("__at", F.row_number().over(W.partitionBy(by).orderBy("__u", key)) - 1)
+    # a row's rank: rows of its class in earlier sectors of the hash, and its rank in its own sector
+    sectored = rows.withColumn("__b", F.floor(F.col("__u") / F.lit(1 << 20)))
+    held = sectored.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__k"))
+    before = held.select(by, "__b", F.coalesce(F.sum("__k").over(W.partitionBy(by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = sectored.withColumn("__in", F.row_number().over(W.partitionBy(by, "__b").orderBy("__u", key))).join(before, [by, "__b"]).withColumn("__at", F.col("__in") + F.col("__before") - 1)
     picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw_no").withColumn("__x", u(F.concat(F.lit(f"{seed}:d:"), F.col("draw_no").cast("string"))))
     m = F.lit(max(1, n_classes))
     with_class = picks.withColumn("__c", F.col("__x") % m).join(F.broadcast(classes), "__c").join(F.broadcast(n), by)

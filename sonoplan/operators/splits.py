@@ -55,8 +55,9 @@ def pair_split(keys: Column, seed: str) -> Column:
 
 def first_wins(df: DataFrame, key: str, priority: Column, order: str) -> DataFrame:
     """One row per key: the one of the first priority, then the first in order. Rows with a null key all stay."""
-    rank = F.row_number().over(W.partitionBy(key).orderBy(priority, order))
-    known = df.where(F.col(key).isNotNull()).withColumn("__r", rank).where("__r = 1").drop("__r")
+    # an aggregate, so that a key that holds a third of the rows is combined before the shuffle
+    first = F.min_by(F.struct(*(F.col(c) for c in df.columns)), F.struct(priority.alias("p"), F.col(order).alias("o")))
+    known = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(first.alias("__row")).select("__row.*")
     return known.unionByName(df.where(F.col(key).isNull()))
 
 
