@@ -178,7 +178,11 @@ def q68_weights(spark, folder):
     return sampling.inverse_weights(samples(spark, folder), "label").withColumn("weight", F.round("weight", 12))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(sha256('42:r:' || id), 1, 8))::BIGINT, id) - 1 at_, count(*) OVER (PARTITION BY label) n FROM (SELECT DISTINCT id, label FROM baseline_rows WHERE label IS NOT NULL)),
+    c AS (SELECT label, row_number() OVER (ORDER BY label) - 1 c, count(*) OVER () m FROM (SELECT DISTINCT label FROM r)), d AS (SELECT i draw_no, ('0x' || substr(sha256('42:d:' || i), 1, 8))::BIGINT x FROM range(500) t(i))
+    SELECT draw_no, r.label, id FROM d JOIN c ON x % m = c.c JOIN r ON r.label = c.label AND at_ = (x // m) % n"""
+)
 def q68_class_draws(spark, folder):
     rows = table(spark, folder, "baseline_rows").select("id", "label").distinct()
     return sampling.class_draws(rows, "label", "id", 500, "42")
