@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 #: Fixed value: white space beyond what trim() strips.
 BLANK = r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_EDGES = " " + "".join(map(chr, [*range(9, 14), 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 #: Words that stand for a missing value.
 MISSING_WORDS = ("nan", "none", "null")
 
 
 def tidy(c: Column) -> Column:
     """c without white space of any kind at its ends."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(_EDGES))
 
 
 def is_missing(c: Column) -> Column:
