@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sonoplan.session import durable
+
 
 def hash_order(seed: str, *parts: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256)
@@ -67,44 +70,60 @@ class Budget:
     seed: str = "42"
 
 
-def _choose(rows: pd.DataFrame, cells: dict[tuple[str, str], float], budget: Budget) -> pd.DataFrame:
-    """Greedy whole-clip choice over all cells. Candidates lie in one heap per (cell, speaker, generator), best hash first; each pick looks at the heads only."""
-    used, clips, speakers, of_cell, gen = {k: 0.0 for k in cells}, {}, set(), {k: set() for k in cells}, {}
+def _choose(rows: pd.DataFrame, cells: dict[tuple[str, str], float], budget: Budget) -> tuple[pd.DataFrame, int]:
+    """Greedy whole-clip choice over all cells, and the most chosen speakers that one (label, language, generator) has rows of.
+
+    Clips of speakers not chosen yet lie in one queue per (cell, generator), those of chosen speakers in one per (cell, speaker, generator),
+    best hash first; each pick looks at the heads only."""
+    used, clips, of_cell, gen = {k: 0.0 for k in cells}, {}, {k: set() for k in cells}, {}
     cap = budget.seconds.get("spoof", 0.0) * budget.generator_share
-    heaps: dict[tuple, list] = {}
+    columns = ["dataset", "sample_id", "label", "language", "speaker_id", "generator", "duration"]
+    if budget.clips_per_speaker < 1:
+        return pd.DataFrame([], columns=columns), 0
+    fresh_rows: dict[tuple, list] = {}
+    of_speaker: dict[str, list] = {}
     for r in rows.itertuples(index=False):
-        heaps.setdefault((r.label, r.language, r.speaker_id, r.generator), []).append((r.rank, r.duration, r.dataset, r.sample_id))
-    for h in heaps.values():
-        heapq.heapify(h)
+        item = (r.rank, r.duration, r.dataset, r.sample_id, r.speaker_id, (r.label, r.language, r.generator))
+        fresh_rows.setdefault(item[5], []).append(item)
+        of_speaker.setdefault(r.speaker_id, []).append(item)
+    # last is first: what doesn't fit now never fits later (amounts only grow), nor does a chosen speaker become a new one
+    for q in fresh_rows.values():
+        q.sort(key=lambda x: x[:4], reverse=True)
+    own: dict[tuple, list] = {}
     chosen = []
-    while heaps:
+    while True:
         best = None
-        for g in list(heaps):
-            label, lang, who, maker = g
-            cell, h = (label, lang), heaps[g]
-            # what doesn't fit now never fits later: amounts only grow
-            full = clips.get(who, 0) >= budget.clips_per_speaker or (who not in speakers and len(speakers) >= budget.speakers)
-            while h and (full or used[cell] + h[0][1] > cells[cell] + 1e-9 or (label == "spoof" and gen.get(maker, 0.0) + h[0][1] > cap + 1e-9)):
-                heapq.heappop(h)
-            if not h:
-                del heaps[g]
+        for queues, new in ((fresh_rows, True), (own, False)):
+            if new and len(clips) >= budget.speakers:
                 continue
-            fresh = len(of_cell[cell]) < budget.speakers_per_cell and who not in of_cell[cell]
-            score = (0 if fresh else 1, used[cell] / cells[cell] if cells[cell] else 1, clips.get(who, 0), gen.get(maker, 0.0) if label == "spoof" else 0, h[0][0])
-            if best is None or score < best[0]:
-                best = (score, g)
+            for g in list(queues):
+                label, lang, maker = g[:3]
+                cell, q = (label, lang), queues[g]
+                full = not new and clips[g[3]] >= budget.clips_per_speaker
+                while q and (full or (new and q[-1][4] in clips) or used[cell] + q[-1][1] > cells[cell] + 1e-9 or (label == "spoof" and gen.get(maker, 0.0) + q[-1][1] > cap + 1e-9)):
+                    q.pop()
+                if not q:
+                    del queues[g]
+                    continue
+                who = q[-1][4]
+                fresh = len(of_cell[cell]) < budget.speakers_per_cell and who not in of_cell[cell]
+                score = (0 if fresh else 1, used[cell] / cells[cell] if cells[cell] else 1, clips.get(who, 0), gen.get(maker, 0.0) if label == "spoof" else 0, q[-1][0])
+                if best is None or score < best[0]:
+                    best = (score, queues, g)
         if best is None:
             break
-        g = best[1]
-        rank, seconds, dataset, sample = heapq.heappop(heaps[g])
-        label, lang, who, maker = g
+        rank, seconds, dataset, sample, who, (label, lang, maker) = best[1][best[2]].pop()
+        if who not in clips:
+            for item in sorted(of_speaker[who], key=lambda x: x[:4], reverse=True):
+                if item[2:4] != (dataset, sample):
+                    own.setdefault((*item[5], who), []).append(item)
         used[label, lang] += seconds
         clips[who] = clips.get(who, 0) + 1
-        speakers.add(who)
         of_cell[label, lang].add(who)
         if label == "spoof":
             gen[maker] = gen.get(maker, 0.0) + seconds
         chosen.append((dataset, sample, label, lang, who, maker, seconds))
+    met = Counter(g for who in clips for g in {item[5] for item in of_speaker[who]})
     # the last picks of a generator with too large a share of what was chosen go again
     while True:
         total = {}
@@ -118,24 +137,77 @@ def _choose(rows: pd.DataFrame, cells: dict[tuple[str, str], float], budget: Bud
             break
         at = max(i for i, c in enumerate(chosen) if c[2] == "spoof" and c[5] == top)
         del chosen[at]
-    return pd.DataFrame(chosen, columns=["dataset", "sample_id", "label", "language", "speaker_id", "generator", "duration"])
+    return pd.DataFrame(chosen, columns=columns), max(met.values(), default=0)
+
+
+def _undominated(rows: pd.DataFrame, by: list[str], of: str | None, k: int) -> pd.DataFrame:
+    """Rows that fewer than k others of their group (others in `of`, if named) precede in rank and don't exceed in duration; of one `of`, none may."""
+    rows = rows.sort_values(["rank", "duration", "dataset", "sample_id"]).reset_index(drop=True)
+    held: dict[int, tuple[list, dict]] = {}
+    keep = []
+    for n, (g, o, d) in enumerate(zip(rows.groupby(by, dropna=False, sort=False).ngroup(), rows[of] if of else rows.index, rows["duration"])):
+        least, mine = held.setdefault(g, ([], {}))
+        if (len(least) >= k and least[-1][0] <= d) or mine.get(o, d + 1) <= d:
+            continue
+        keep.append(n)
+        if o in mine:
+            del least[bisect_left(least, (mine[o], o))]
+        insort(least, (d, o))
+        mine[o] = d
+        if len(least) > k:
+            del mine[least.pop()[1]]
+    return rows.iloc[keep]
+
+
+def _narrowed(df: DataFrame, by: list[str], of: str | None, k: int) -> DataFrame:
+    """_undominated rows of df, and perhaps some more: a group that goes through memory in parts is narrowed within each."""
+
+    def part(batches):
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + len(b)
+            if n >= 100_000:
+                held = [_undominated(pd.concat(held), by, of, k)]
+                n = len(held[0])
+                if n > 50_000:
+                    yield held[0]
+                    held, n = [], 0
+        if n:
+            yield _undominated(pd.concat(held), by, of, k)
+
+    # within the tasks as they are, so that no group is large after the shuffle
+    return df.mapInPandas(part, df.schema).repartition(*by).sortWithinPartitions(*by).mapInPandas(part, df.schema)
 
 
 def greedy_plan(eligible: DataFrame, cells: list[tuple[str, str]], budget: Budget) -> DataFrame:
     """dataset, sample_id, label, language, speaker_id, generator, duration of the chosen records.
 
-    Speaker and generator limits couple all cells, so the last choice is one sequence; it sees a bounded number of rows: of each
-    (label, language, speaker, generator) only as many as a speaker may give, first in hash order, and of each cell only as
-    many speakers' rows as fill its budget several times over."""
+    Speaker and generator limits couple all cells, so the last choice is one sequence. It gets all rows that it could choose:
+
+    * Room only shrinks. So when a row is chosen, all rows of its (label, language, speaker, generator) that precede it in rank and are no
+      longer have been chosen: fewer than a speaker may give.
+    * Speakers not chosen yet are alike. So when a speaker's first row is chosen, all speakers with such a row in its (label, language,
+      generator) have been chosen. It is tried with few of them; if as many as tried have been chosen anywhere, with more."""
     per = {c: budget.seconds[c[0]] / max(1, sum(1 for x in cells if x[0] == c[0])) for c in cells}
-    wanted = F.create_map(*(F.lit(x) for c, s in per.items() for x in ("|".join(c), float(s))))
+    columns = ["dataset", "sample_id", "label", "language", "speaker_id", "generator", "duration"]
     cell = F.concat_ws("|", "label", "language")
-    rows = eligible.withColumn("rank", hash_order(budget.seed, "dataset", "sample_id")).withColumn("__cell", cell).where(F.col("__cell").isin(*("|".join(c) for c in cells)))
-    near = quota(rows, ["label", "language", "speaker_id", "generator"], "sample_id", budget.clips_per_speaker, budget.seed)
-    spent = F.sum("duration").over(W.partitionBy("label", "language", "generator", "__s").orderBy("rank").rowsBetween(W.unboundedPreceding, -1))
-    bounded = near.withColumn("__s", F.pmod(F.xxhash64("speaker_id"), F.lit(16))).withColumn("__spent", F.coalesce(spent, F.lit(0.0))).where(F.col("__spent") <= F.element_at(wanted, F.col("__cell")))
-    shape = "dataset string, sample_id string, label string, language string, speaker_id string, generator string, duration double"
-    return bounded.select("dataset", "sample_id", "label", "language", "speaker_id", "generator", "duration", "rank", F.lit(1).alias("one")).groupBy("one").applyInPandas(lambda pdf: _choose(pdf, per, budget), shape)
+    rows = durable(eligible.where(cell.isin(*("|".join(c) for c in cells))).select(*columns, hash_order(budget.seed, "dataset", "sample_id").alias("rank")))
+    shape = "dataset string, sample_id string, label string, language string, speaker_id string, generator string, duration double, reach int, picked boolean"
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        chosen, reach = _choose(pdf, per, budget)
+        mark = pd.DataFrame([(None,) * 6 + (0.0, reach, False)], columns=[*columns, "reach", "picked"])
+        return pd.concat([chosen.assign(reach=reach, picked=True), mark]) if len(chosen) else mark
+
+    k = min(32, budget.speakers)
+    while True:
+        near = _narrowed(rows, ["label", "language", "generator"], "speaker_id", max(1, k)).select("speaker_id").distinct()
+        bounded = _narrowed(rows.join(near, "speaker_id", "left_semi"), ["label", "language", "speaker_id", "generator"], None, max(1, budget.clips_per_speaker))
+        found = durable(bounded.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, shape))
+        mark = found.where("NOT picked").first()
+        if k >= budget.speakers or mark is None or mark["reach"] < k:
+            return found.where("picked").select(*columns)
+        k = min(4 * k, budget.speakers)
 
 
 def plan_report(chosen: DataFrame, cells: list[tuple[str, str]], budget: Budget) -> DataFrame:

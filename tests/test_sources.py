@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,6 +145,59 @@ def test_greedy_plan_keeps_its_limits(spark):
     assert sampling.greedy_plan(df.limit(0), [("bonafide", "hi")], budget).count() == 0
 
 
+def greedy_over_all(rows, cells, b):
+    """The reference's loop: every row is a candidate of every pick. Chosen (dataset, sample_id)."""
+    target = {c: b.seconds[c[0]] / sum(x[0] == c[0] for x in cells) for c in cells}
+    rank = {r: hashlib.sha256(f"{b.seed}|{r[0]}|{r[1]}".encode()).hexdigest() for r in rows}
+    used, clips, seen, gen, left, chosen = Counter(), Counter(), {c: set() for c in cells}, Counter(), set(rows), []
+    while True:
+        best = None
+        for r in left:
+            cell, who, maker, d = (r[2], r[3]), r[4], r[5], r[6]
+            if used[cell] + d > target[cell] + 1e-9 or clips[who] >= b.clips_per_speaker or (not clips[who] and len(+clips) >= b.speakers):
+                continue
+            if r[2] == "spoof" and gen[maker] + d > b.seconds["spoof"] * b.generator_share + 1e-9:
+                continue
+            fresh = len(seen[cell]) < b.speakers_per_cell and who not in seen[cell]
+            score = (not fresh, used[cell] / target[cell], clips[who], gen[maker] if r[2] == "spoof" else 0, rank[r])
+            best = min(best, (score, r)) if best else (score, r)
+        if not best:
+            break
+        r = best[1]
+        left.remove(r)
+        chosen.append(r)
+        used[r[2], r[3]] += r[6]
+        clips[r[4]] += 1
+        seen[r[2], r[3]].add(r[4])
+        if r[2] == "spoof":
+            gen[r[5]] += r[6]
+    while True:
+        total = Counter()
+        for r in chosen:
+            if r[2] == "spoof":
+                total[r[5]] += r[6]
+        if not total or max(total.values()) <= b.generator_share * sum(total.values()) + 1e-9:
+            return {r[:2] for r in chosen}
+        top = min(g for g in total if total[g] == max(total.values()))
+        chosen.remove([r for r in chosen if r[5] == top][-1])
+
+
+def test_greedy_plan_against_all_rows(spark):
+    """One speaker with far more clips than it may give, most too long for what is left; more speakers than are tried at first."""
+    rng = random.Random(21)
+    cells = [(a, b) for a in ("bonafide", "spoof") for b in ("hi", "ta")]
+    for speakers, limit in ((4, 3), (60, 45), (90, 80)):
+        rows = []
+        for i in range(500):
+            label, lang = rng.choice(cells)
+            who = "loud" if rng.random() < 0.3 else f"s{rng.randrange(speakers)}"
+            rows.append(("d", f"{i}", label, lang, who, f"g{rng.randrange(3)}" if label == "spoof" else None, rng.choice([1.5, 2.25, 7.0, 19.5, 31.0])))
+        budget = sampling.Budget({"bonafide": 240.0, "spoof": 200.0}, clips_per_speaker=20, speakers=limit)
+        df = spark.createDataFrame(rows, "dataset string, sample_id string, label string, language string, speaker_id string, generator string, duration double")
+        got = sampling.greedy_plan(df, cells, budget).select("dataset", "sample_id").collect()
+        assert {tuple(r) for r in got} == greedy_over_all(rows, cells, budget) and len(got) == len(set(got))
+
+
 def test_archives_and_features(spark, tmp_path):
     import io
     import tarfile
