@@ -220,13 +220,16 @@ def plan_report(chosen: DataFrame, cells: list[tuple[str, str]], budget: Budget)
     return both.withColumn("shortfall_seconds", F.greatest(F.lit(0.0), F.col("target_seconds") - F.col("selected_seconds"))).withColumn("problem", F.when(short, "underfilled").when(F.col("speakers") < budget.speakers_per_cell, "too few speakers"))
 
 
-def byte_budget(units: DataFrame, shares: dict[str, float], budget: int) -> DataFrame:
-    """split, unit, picked: units of each split by coverage of the classes per byte, as long as the split's bytes last.
+def byte_budget(units: DataFrame, shares: dict[str, float], budget: int, minimum: int = 100, refuse: bool = True) -> DataFrame:
+    """split, unit, picked, estimated_bytes, usable: units of each split by coverage of the classes per byte, as long as the split's bytes last.
 
-    units: unit, split, n_bonafide, n_spoof, estimated_bytes; a unit is a row group, so a split has few of them. Splits are independent."""
+    units: unit, split, n_bonafide, n_spoof, estimated_bytes; a unit is a row group, so a split has few of them. Splits are independent.
+    A split of shares whose units hold fewer than `minimum` records of a class is an error; with refuse=False its rows aren't usable, and
+    one row without a unit stands for a split that gets none."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = int(budget * shares.get(pdf["split"].iloc[0], 0))
+        split = pdf["split"].iloc[0]
+        left = int(budget * shares.get(split, 0))
         pool = [r for r in pdf.itertuples(index=False) if r.n_bonafide + r.n_spoof > 0]
         have, out = [0, 0], []
         while True:
@@ -238,9 +241,14 @@ def byte_budget(units: DataFrame, shares: dict[str, float], budget: int) -> Data
             have = [have[0] + best.n_bonafide, have[1] + best.n_spoof]
             left -= best.estimated_bytes
             pool.remove(best)
-        return pd.DataFrame(out, columns=["split", "unit", "picked", "estimated_bytes"])
-
-    return units.groupBy("split").applyInPandas(pick, "split string, unit string, picked int, estimated_bytes bigint")
+        usable = min(have) >= minimum
+        if refuse and split in shares and not usable:
+            raise ValueError(f"no usable {split} subset within its bytes: {have[0]} bonafide and {have[1]} spoof records, {minimum} of each wanted")
+        return pd.DataFrame(out or [(split, None, 0, 0)], columns=["split", "unit", "picked", "estimated_bytes"]).assign(usable=usable)
+
+    # a row for each split, so that one without units is judged too
+    named = units.sparkSession.createDataFrame([(s, 0, 0, 0) for s in shares], "split string, n_bonafide bigint, n_spoof bigint, estimated_bytes bigint").withColumn("unit", F.lit(None).cast("string"))
+    return units.unionByName(named).groupBy("split").applyInPandas(pick, "split string, unit string, picked int, estimated_bytes bigint, usable boolean")
 
 
 def shard_plan(files: DataFrame, by: list[str], path: str, size: str, per: int, most: int, seed: str) -> DataFrame:

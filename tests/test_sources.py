@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sonoplan.functions import fields
 from sonoplan.operators import audio, checks, sampling
+from sonoplan.plans import arrays
 from sonoplan.sources import metadata, sinks
 from sonoplan.streaming import streams
 
@@ -198,6 +199,35 @@ def test_greedy_plan_against_all_rows(spark):
         assert {tuple(r) for r in got} == greedy_over_all(rows, cells, budget) and len(got) == len(set(got))
 
 
+def test_byte_budget_against_a_loop(spark):
+    rng = random.Random(22)
+    units = [(f"u{i:02d}", rng.choice(["train", "dev", "test"]), rng.randrange(60), rng.randrange(60), rng.randrange(1, 9000)) for i in range(90)]
+    shape, shares, budget = "unit string, split string, n_bonafide bigint, n_spoof bigint, estimated_bytes bigint", {"train": 0.8, "dev": 0.1, "test": 0.1}, 200_000
+    want = []
+    for split, share in shares.items():
+        left, a, b, pool, n = int(budget * share), 0, 0, sorted(u for u in units if u[1] == split and u[2] + u[3]), 0
+        while fits := [u for u in pool if u[4] <= left]:
+            u = max(fits, key=lambda u: ((u[2] / (a + 100) + u[3] / (b + 100)) / u[4], u[0]))
+            pool.remove(u)
+            a, b, left, n = a + u[2], b + u[3], left - u[4], n + 1
+            want.append((split, u[0], n, u[4], True))
+        assert min(a, b) >= 100
+    df = spark.createDataFrame(units, shape)
+    assert sorted(map(tuple, sampling.byte_budget(df, shares, budget).collect())) == sorted(want)
+    # too few bytes, or a split without units, is an error or marked
+    for few, bytes_ in ((df, 2_000), (df.where("split <> 'dev'"), budget)):
+        with pytest.raises(Exception, match="no usable"):
+            sampling.byte_budget(few, shares, bytes_).collect()
+        marked = sampling.byte_budget(few, shares, bytes_, refuse=False).collect()
+        assert {r.split for r in marked} == set(shares) and not any(r.usable for r in marked if r.split == "dev")
+
+
+def test_byte_budget_grows_with_the_table(spark):
+    for size in ("sf0.01", "sf0.1"):
+        got = arrays.q70_byte_budget(spark, f"/root/testdata/{size}").collect()
+        assert {r.split for r in got} == {"train", "dev", "test"} and all(r.usable and r.unit for r in got)
+
+
 def test_archives_and_features(spark, tmp_path):
     import io
     import tarfile
