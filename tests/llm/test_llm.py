@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import defaultdict
 
@@ -320,3 +321,26 @@ def test_allocation_meets_quotas():
         total = sum(b[k] * b[2] for b in bundles)
         for j, r in enumerate((0.6, 0.2, 0.2)):
             assert abs(sum(b[k] * f[j] for b, f in zip(bundles, flow)) - r * total) <= max(10, 0.01 * total)
+
+
+def missed(bundles, flow, ratios):
+    return sum(abs(sum(b[k] * f[j] for b, f in zip(bundles, flow)) - r * sum(b[k] * b[2] for b in bundles)) for k in (0, 1) for j, r in enumerate(ratios))
+
+
+def test_allocation_exchanges_across_bundles():
+    # 3 + 3 and 2 + 2 + 2, found only by giving a three for two twos
+    few = [(3, 0, 2), (2, 0, 3)]
+    assert missed(few, grouped_split.allocate(few, [0.5, 0.5]), [0.5, 0.5]) == 0
+    rng = random.Random(14)
+    for _ in range(20):
+        ratios = [0.6, 0.2, 0.2]
+        single = [(rng.randrange(40), rng.randrange(1, 40)) for _ in range(7)]
+        bundles = [(*b, single.count(b)) for b in sorted(set(single))]
+        flow = grouped_split.allocate(bundles, ratios)
+        assert [sum(f) for f in flow] == [b[2] for b in bundles]
+        least = min(missed([(*b, 1) for b in single], [[int(j == s) for j in range(3)] for s in way], ratios) for way in itertools.product(range(3), repeat=7))
+        assert abs(missed(bundles, flow, ratios) - least) < 1e-9
+    # too many for a list of all loads: an exchange alone finds the way
+    flow = [[1, 1], [2, 1]]
+    grouped_split._exchange(few, flow, [[6.0, 0.0], [6.0, 0.0]])
+    assert missed(few, flow, [0.5, 0.5]) == 0
