@@ -386,6 +386,20 @@ def q37_holdout_first(spark, folder):
     return splits.first_wins(rows, "window_sha256", F.expr(_PRIORITY), "id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+_WINDOW = r"regexp_replace(regexp_replace(lower(window_sha256), '[\s\x{a0}_-]+', '', 'g'), '^(sha256:?|0x)+', '')"
+_WINDOW_KEY = f"CASE WHEN regexp_full_match({_WINDOW}, '[0-9a-f]{{64}}') AND replace({_WINDOW}, left({_WINDOW}, 1), '') <> '' THEN {_WINDOW} END"
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT id, split, source, {_WINDOW_KEY} w FROM baseline_rows), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY {_PRIORITY}, id) r FROM d)
+    SELECT split, source, count(*) n FROM r WHERE r = 1 OR w IS NULL GROUP BY 1, 2"""
+)
+def q37_holdout_first_digests(spark, folder):
+    """As q37_holdout_first, by the digest in one spelling; recordings with a placeholder are no copies of each other."""
+    rows = table(spark, folder, "baseline_rows").select("id", "split", "source", digest_key(F.col("window_sha256")).alias("w")).distinct()
+    return splits.first_wins(rows, "w", F.expr(_PRIORITY), "id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT sha256(text) AS text_key, count(*) n, count(DISTINCT source) n_sources, min(doc_id) first_doc FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def q38_conflicting_copies(spark, folder):
     rows = table(spark, folder, "documents").where("text IS NOT NULL AND text <> ''")

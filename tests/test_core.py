@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sonoplan.functions import fields, text
 from sonoplan.operators import audio, metrics, quality, sampling, skew, splits, waveform
 from sonoplan.operators.graph import connected_components
+from sonoplan.plans import catalogue
 
 
 def one(spark, column, **values):
@@ -284,3 +285,11 @@ def test_layouts_and_records(spark):
     assert sampling.shard_plan(files, ["language"], "path", "size", 4, 100, "1").count() == 8
     with pytest.raises(ValueError):
         sampling.shard_plan(files, ["language"], "path", "size", 4, 50, "1")
+
+
+def test_holdout_first_by_digest(spark, tmp_path):
+    d = ["4fd8c88a8bd8b0e8a3a994659247cf1c96397a8f5d9f05a40953f310f464ea2b", "4FD8C88A8BD8B0E8A3A994659247CF1C96397A8F5D9F05A40953F310F464EA2B"]
+    rows = [("a", "train", "x", d[0]), ("b", "test", "x", d[1]), ("c", "train", "x", "n/a"), ("d", "dev", "x", "n/a"), ("e", "dev", "x", "0" * 64), ("f", "train", "x", "0" * 64)]
+    spark.createDataFrame(rows, "id string, split string, source string, window_sha256 string").write.parquet(str(tmp_path / "baseline_rows.parquet"))
+    got = catalogue.q37_holdout_first_digests(spark, str(tmp_path)).collect()
+    assert {(r.split, r.n) for r in got} == {("test", 1), ("train", 2), ("dev", 2)}
