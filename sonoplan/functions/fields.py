@@ -99,9 +99,20 @@ def thirds(b: Column, train: int = 60, dev: int = 80) -> Column:
     return F.when(b < train, "train").when(b < dev, "dev").otherwise("test")
 
 
+#: White space as the reference splits at it.
+_SPACES = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Lower-case letters that case folding changes further: to one letter, and to several.
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() == c != c.casefold()}
+_LETTERS = {c: x for c, x in _FOLDED.items() if len(x) == 1}
+_LONG = {c: x for c, x in _FOLDED.items() if len(x) > 1}
+
+
 def text_key(c: Column) -> Column:
-    """Digest of the text in lower case (sharp s as ss) with single spaces; null for null and blank texts."""
-    flat = tidy(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"[\s]+", " "))
+    """Digest of the case-folded text (sharp s as ss) with single spaces; null for null and blank texts."""
+    low = F.translate(F.lower(c), "".join(_LETTERS), "".join(_LETTERS.values()))
+    # few texts have such letters
+    folded = F.when(low.rlike(f"[{''.join(_LONG)}]"), reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), _LONG.items(), low)).otherwise(low)
+    flat = F.btrim(F.regexp_replace(folded, _SPACES, " "))
     return F.when(flat != "", F.sha2(flat, 256))
 
 

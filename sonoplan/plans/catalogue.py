@@ -175,6 +175,12 @@ def q16_text_digests(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("raw_key"), "n_chars", F.col("text").isNull().alias("is_null"))
 
 
+@query()
+def q16_text_keys(spark, folder):
+    """The raw and the normalised digest of each text. (No SQL: the engine's lower() is no case folding; tested against the reference's rule.)"""
+    return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("raw_key"), f.text_key(F.col("text")).alias("text_key"))
+
+
 _MANIFEST_TEXT = ["sample_id", "source_file", "speaker_id", "language", "gender", "generator", "codec", "split"]
 
 

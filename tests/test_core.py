@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -293,3 +294,16 @@ def test_holdout_first_by_digest(spark, tmp_path):
     spark.createDataFrame(rows, "id string, split string, source string, window_sha256 string").write.parquet(str(tmp_path / "baseline_rows.parquet"))
     got = catalogue.q37_holdout_first_digests(spark, str(tmp_path)).collect()
     assert {(r.split, r.n) for r in got} == {("test", 1), ("train", 2), ("dev", 2)}
+
+
+def test_text_keys_against_the_rule(spark, tmp_path):
+    def rule(t):
+        flat = " ".join((t or "").casefold().split())
+        return hashlib.sha256(flat.encode()).hexdigest() if flat else None
+
+    texts = [None, "", " \u00a0\n", "Straße", "STRASSE", " strasse\t", "a\u00a0\u2003 b", "A B", "ΟΔΟΣ", "οδος", "ﬁne", "FINE", "ŉ İ ẞ", "a\u200bb", "ſ"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (str(tmp_path), "/root/testdata/sf0.1"):
+        text = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+        got = catalogue.q16_text_keys(spark, folder).collect()
+        assert [(text[r.doc_id], r.text_key) for r in got if r.text_key != rule(text[r.doc_id])] == []
