@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sonoplan.llm import calibrate, grouped_split
 from sonoplan.llm.bpe import encode_texts
 from sonoplan.llm.canonical import canonical
-from sonoplan.llm.leak import find_leaks
+from sonoplan.llm.leak import find_leaks, find_near
 from sonoplan.llm.overlap import overlap_pairs, overlap_report
 from sonoplan.llm.pieces import split_oversized
 from sonoplan.llm.sql import SQL
@@ -105,5 +105,11 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return p8_passages(spark, folder).groupBy("item_id").agg(is_(F.expr("covered_words = item_words")).alias("n_whole"), is_(F.expr("covered_words * 2 >= item_words")).alias("n_half"), F.count(F.lit(1)).alias("n_any"), F.max("longest_run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_splits, p6_report, p8_found, p8_passages, p8_items, p7_ids, p9_pieces, p9_found)}
+def p8_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least half of an item's windows nearly, with words put in, left out or changed."""
+    found = find_near(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return found.where("near_windows * 2 >= item_windows")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_splits, p6_report, p8_found, p8_passages, p8_items, p8_near, p7_ids, p9_pieces, p9_found)}
 __all__ = ["QUERIES", "SQL"]

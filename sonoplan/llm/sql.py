@@ -54,7 +54,22 @@ def broken_groups(con) -> set[str]:
     return {i for i, s, f, _ in rows if len(seen.get(group(i, s, f), ())) > 1}
 
 
+_WORDS = r"regexp_extract_all(lower(regexp_replace(replace(text, 'ß', 'ss'), '\p{Cf}+', '', 'g')), '[\p{L}\p{M}\p{N}]+')"
+_RUNS = f"""
+doc AS (SELECT doc_id, {_WORDS} w FROM documents WHERE text IS NOT NULL),
+item AS (SELECT item_id, {_WORDS} w FROM eval_items WHERE text IS NOT NULL),
+inside AS (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) k FROM doc)),
+asked AS (SELECT item_id, k, array_to_string(w[k:k + 7], ' ') g, n FROM (SELECT item_id, w, len(w) n, unnest(range(1, len(w) - 6)) k FROM item)),
+met AS (SELECT doc_id, item_id, n, a.k ik, d.k - a.k diagonal FROM inside d JOIN asked a USING (g)),
+island AS (SELECT doc_id, item_id, diagonal, max(ik) - min(ik) + 8 AS run FROM (SELECT *, ik - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY ik) i FROM met) GROUP BY doc_id, item_id, diagonal, i),
+longest AS (SELECT doc_id, item_id, max(run) longest_run FROM island GROUP BY 1, 2),
+covered AS (SELECT doc_id, item_id, n, count(DISTINCT c) covered_words FROM (SELECT doc_id, item_id, n, unnest(range(ik, ik + 8)) c FROM (SELECT DISTINCT doc_id, item_id, n, ik FROM met)) GROUP BY 1, 2, 3),
+passage AS (SELECT doc_id, item_id, covered_words, n item_words, longest_run FROM covered JOIN longest USING (doc_id, item_id))"""
+
 SQL: dict[str, str] = {
+    "p8_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM passage WHERE covered_words * 2 >= item_words",
+    "p8_passages": f"WITH {_RUNS} SELECT * FROM passage",
+    "p8_items": f"WITH {_RUNS} SELECT item_id, count(*) FILTER (covered_words = item_words) n_whole, count(*) FILTER (covered_words * 2 >= item_words) n_half, count(*) n_any, max(longest_run) longest_run FROM passage GROUP BY item_id",
     "p4_found": f"WITH {_OVERLAP} SELECT id_a, id_b FROM found",
     "p5_found": f"""SELECT t.cell_id FROM sample_targets t LEFT JOIN (SELECT DISTINCT sample_id, {_tidy('language')} l, {_tidy('label')} k, CASE WHEN NOT {_MISSING.format('generator')} THEN {_tidy('generator')} END g FROM manifest WHERE sample_id IS NOT NULL) m
       ON lower(t.language) = l AND t.label = k AND lower(t.generator) IS NOT DISTINCT FROM g GROUP BY t.cell_id, min_rows, target_share, sample_size HAVING count(m.sample_id) < greatest(min_rows, round(target_share * sample_size))""",

@@ -16,7 +16,7 @@ from compare import connect, differ
 from sonoplan.llm import calibrate, grouped_split, queries, sql
 from sonoplan.llm.bpe import VOCABULARY, Encoder, encode_texts
 from sonoplan.llm.canonical import allowed, edits, grams, meanings, similar_words, words_of
-from sonoplan.llm.leak import Items, find_leaks, terms
+from sonoplan.llm.leak import Items, find_leaks, find_near, index_block, pack, terms, unpack
 from sonoplan.llm.overlap import FullTextIndex, overlap_pairs
 from sonoplan.llm.pieces import Limits, cut, split_oversized, strengths
 
@@ -145,12 +145,52 @@ def test_leaks_against_loop(spark):
     assert find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame([], "item_id bigint, text string"), "item_id", "text").count() == 0
 
 
-def test_items_find_runs_across_scripts():
-    items = Items([(1, "नमूना के नई दीवार नदी को तीन सुनी गई")], 8)
-    doc, item, covered, longest = items.search([terms("x नमूना, के नई  दीवार नदी को तीन सुनी गई y")])
+def test_blocks_find_runs_across_scripts():
+    item = "नमूना के नई दीवार नदी को तीन सुनी गई"
+    items = Items([(1, terms(item), [1] * 9)], 8)
+    _, firsts, words, count, places = index_block(["x नमूना, के नई  दीवार नदी को तीन सुनी गई y"], 16)
+    doc, found, covered, longest = items.block(firsts, words, count, places).exact()
     assert covered.tolist() == [9] and longest.tolist() == [9]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**34)))
+def test_packed_places_come_back(values):
+    assert unpack(pack(np.array(values, np.int64))).tolist() == values
+
+
+def near_by_loop(docs, items, run=8, slack=2):
+    seen, out = defaultdict(int), defaultdict(int)
+    words = {d: terms(t) for d, t in docs}
+    for w in words.values():
+        for x in w:
+            seen[x] += 1
+    for i, t in items:
+        iw = terms(t)
+        for k in range(len(iw) - run + 1):
+            a, b, c = sorted(range(k, k + run), key=lambda x: (seen[iw[x]], x))[:3]
+            for d, w in words.items():
+                at = lambda q, y: 0 <= q < len(w) and w[q] == y
+                out[d, i] += any(x == iw[a] and all(any(at(p + o - a + s, iw[o]) for s in range(-slack, slack + 1)) for o in (b, c)) for p, x in enumerate(w))
+    return {k: n for k, n in out.items() if n}
+
+
+def test_near_against_loop(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split())
+    items = [(k, " ".join(word() for _ in range(rng.choice([5, 8, 14])))) for k in range(8)] + [(9, None)]
+    docs = [(0, None), (1, "")]
+    for d in range(2, 30):
+        text = [word() for _ in range(rng.randrange(40))]
+        piece = items[rng.randrange(8)][1].split()
+        piece[3:4] = ["other"]
+        text[4:4] = piece
+        docs.append((d, " ".join(text)))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.near_windows for r in find_near(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert got == near_by_loop(docs, items) and got
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------------
 
 
