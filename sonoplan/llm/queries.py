@@ -51,6 +51,17 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return calibrate.report(spark, planned)
 
 
+def p5_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """What the sample's shares by language, label and generator miss of their targets."""
+    planned, _ = calibrate.plan(table(spark, folder, "manifest"), table(spark, folder, "sample_targets"))
+    return calibrate.margin_report(spark, planned)
+
+
+def p5_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """All cells with what they hold, want and lack."""
+    return p5_report(spark, folder).select("cell_id", "n_available", "n_wanted", "n_missing")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_report(spark, folder).where("n_available < n_wanted").select("cell_id")
 
@@ -111,5 +122,5 @@ def p8_near(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("near_windows * 2 >= item_windows")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_report, p5_found, p5_report, p5_sample, p6_found, p6_splits, p6_report, p8_found, p8_passages, p8_items, p8_near, p7_ids, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_report, p5_found, p5_report, p5_cells, p5_margins, p5_sample, p6_found, p6_splits, p6_report, p8_found, p8_passages, p8_items, p8_near, p7_ids, p9_pieces, p9_found)}
 __all__ = ["QUERIES", "SQL"]

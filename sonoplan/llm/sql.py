@@ -54,6 +54,10 @@ def broken_groups(con) -> set[str]:
     return {i for i, s, f, _ in rows if len(seen.get(group(i, s, f), ())) > 1}
 
 
+_CELLS = f"""
+cell AS (SELECT t.cell_id, count(m.sample_id) n_available, greatest(min_rows, round(target_share * sample_size))::BIGINT n_wanted FROM sample_targets t
+  LEFT JOIN (SELECT DISTINCT sample_id, {_tidy('language')} l, {_tidy('label')} k, CASE WHEN NOT {_MISSING.format('generator')} THEN {_tidy('generator')} END g FROM manifest WHERE sample_id IS NOT NULL) m
+  ON lower(t.language) = l AND t.label = k AND lower(t.generator) IS NOT DISTINCT FROM g GROUP BY t.cell_id, min_rows, target_share, sample_size)"""
 _WORDS = r"regexp_extract_all(lower(regexp_replace(replace(text, 'ß', 'ss'), '\p{Cf}+', '', 'g')), '[\p{L}\p{M}\p{N}]+')"
 _RUNS = f"""
 doc AS (SELECT doc_id, {_WORDS} w FROM documents WHERE text IS NOT NULL),
@@ -71,8 +75,8 @@ SQL: dict[str, str] = {
     "p8_passages": f"WITH {_RUNS} SELECT * FROM passage",
     "p8_items": f"WITH {_RUNS} SELECT item_id, count(*) FILTER (covered_words = item_words) n_whole, count(*) FILTER (covered_words * 2 >= item_words) n_half, count(*) n_any, max(longest_run) longest_run FROM passage GROUP BY item_id",
     "p4_found": f"WITH {_OVERLAP} SELECT id_a, id_b FROM found",
-    "p5_found": f"""SELECT t.cell_id FROM sample_targets t LEFT JOIN (SELECT DISTINCT sample_id, {_tidy('language')} l, {_tidy('label')} k, CASE WHEN NOT {_MISSING.format('generator')} THEN {_tidy('generator')} END g FROM manifest WHERE sample_id IS NOT NULL) m
-      ON lower(t.language) = l AND t.label = k AND lower(t.generator) IS NOT DISTINCT FROM g GROUP BY t.cell_id, min_rows, target_share, sample_size HAVING count(m.sample_id) < greatest(min_rows, round(target_share * sample_size))""",
+    "p5_found": f"WITH {_CELLS} SELECT cell_id FROM cell WHERE n_available < n_wanted",
+    "p5_cells": f"WITH {_CELLS} SELECT cell_id, n_available, n_wanted, greatest(0, n_wanted - n_available)::BIGINT n_missing FROM cell",
     "p6_found": f"""WITH RECURSIVE {_GROUPS},
 walk AS (SELECT a node, b seen FROM both_ways UNION SELECT node, l.b FROM walk JOIN both_ways l ON seen = l.a),
 root AS (SELECT node, least(node, min(seen)) r FROM walk GROUP BY node),

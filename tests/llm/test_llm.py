@@ -310,6 +310,47 @@ def test_pivotal_keeps_chances():
     assert np.abs(hits / 4000 - chance).max() < 0.04
 
 
+@pytest.mark.parametrize(("n", "p"), [(7, 0.3), (10, 0.7), (5, 0.05), (8, 0.5), (6, 1.0), (6, 0.0), (9, 1 / 3)])
+def test_equal_pivotal_keeps_chances(n, p):
+    rng = np.random.default_rng(2)
+    hits = np.zeros(n)
+    for _ in range(4000):
+        drawn, open_, rest = calibrate.pivotal_equal(n, p, rng.random)
+        assert len(set(drawn) | {open_}) == len(drawn) + 1 and abs(len(drawn) + (rest if open_ >= 0 else 0) - n * p) < 1e-6
+        hits[drawn] += 1
+        if open_ >= 0 and rng.random() < rest:
+            hits[open_] += 1
+    assert np.abs(hits / 4000 - p).max() < 0.04
+
+
+def test_margins_hold_where_cells_are_short():
+    # the cell (a, x) is short; a's share comes from (a, y), x's from (b, x)
+    share, supply = np.array([0.25, 0.25, 0.25, 0.25]), np.array([100, 9000, 9000, 9000])
+    lang, maker = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
+    n = calibrate.tilt(supply, share, np.zeros(4), 2000, [lang, maker])
+    assert abs(n[0] - 100) < 1e-6 and abs(n[:2].sum() - 1000) < 20 and abs(n[[0, 2]].sum() - 1000) < 20 and abs(n.sum() - 2000) < 1e-6
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    lang = lambda: rng.choice(["Hindi", "Tamil"])
+    rows = [(f"i{k}", lang(), "spoof", "g") for k in range(3000)] + [(f"i{k}", lang(), "spoof", "g") for k in range(0, 3000, 3)]
+    records = spark.createDataFrame(rows, "sample_id string, language string, label string, generator string")
+    targets = spark.createDataFrame([(1, "Hindi", "spoof", "g", 0.7, 3, 900), (2, "Tamil", "spoof", "g", 0.3, 3, 900)], "cell_id int, language string, label string, generator string, target_share double, min_rows int, sample_size bigint")
+    kept, samples = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        calibrate.BLOCK = 200
+        for n, batch in (("4", "10000"), ("7", "100")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            samples.append(sorted(map(tuple, calibrate.draw(*calibrate.plan(records.repartition(int(n)), targets)).collect())))
+    finally:
+        calibrate.BLOCK = 50_000
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert samples[0] == samples[1] and len({r[0] for r in samples[0]}) == len(samples[0]) == 900
+
+
 def test_sample_is_exact(spark):
     rng = random.Random(11)
     rows = [(f"i{k}", rng.choice([" Hindi", "hindi", "Tamil"]), "spoof", rng.choice(["g ", "G", None, "nan"])) for k in range(900)]
