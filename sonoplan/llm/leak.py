@@ -182,16 +182,22 @@ class Block:
         """doc, item, covered words of the item, longest run: all pairs with a common run of at least `run` words."""
         items, found = self.items, []
         pairs = items.anchors[(self.count[items.row[items.anchors]] > 0).all(1)] if len(items.anchors) else items.anchors
+        span, half = np.int64(len(self.text)), items.run // 2
         for which, p in self._met(pairs):
             a, b = pairs[which].T
-            keep = self.text[p + b - a] == items.row[b]
-            hit = np.unique(np.stack([a[keep], p[keep]], 1), axis=0)
-            a, p = hit.T
+            keep = np.flatnonzero(self.text[p + b - a] == items.row[b])
+            a, p = a[keep], p[keep]
+            # a run of this length goes on for half of it to one side at least
+            keep = (self.text[p + half] == items.row[a + half]) | (self.text[p - half] == items.row[a - half])
+            a, p = np.divmod(np.unique(a[keep] * span + p[keep]), span)
             back, ahead = self._grow(a, p, -1), self._grow(a, p, 1)
             keep = back + ahead + 1 >= items.run
-            a, p, back, ahead = a[keep], p[keep], back[keep], ahead[keep]
-            found.append(np.stack([np.searchsorted(self.firsts, p, "right") - 1, items.of[a], a - back, a + ahead + 1], 1))
-        hits = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+            # a run is known by where it begins in the item and in the block
+            runs, one = np.unique((a - back)[keep] * span + (p - back)[keep], return_index=True)
+            start, at = np.divmod(runs, span)
+            found.append(np.stack([np.searchsorted(self.firsts, at, "right") - 1, items.of[start], start, start + (back + ahead + 1)[keep][one]]))
+        hits = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        hits = hits[:, np.lexsort(hits[::-1])].T
         return self._covered(hits) if len(hits) else tuple(np.zeros(0, np.int64) for _ in range(4))
 
     def near(self, slack: int) -> tuple[np.ndarray, ...]:
