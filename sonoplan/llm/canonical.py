@@ -1,15 +1,17 @@
 """Typed-in values to entries of a reference list.
 
-Each distinct value is taken apart into words; words and names of entries become sets of letter grams. A prefix-filter join
-finds pairs whose sets may be similar: grams are ordered by rarity over both sides, only the rarest of each set are joined,
-pairs that cannot reach the threshold by length or position are dropped, and the rest is verified exactly (Jaccard, then
-edits). The best entry of each word is kept; a value means an entry if all its words that mean one mean the same.
+Each distinct value is taken apart into words. Words and names of entries become sets of counted letters. An edit changes one
+of them at most, so for a name that bears k edits the Jaccard similarity must be (larger - k) / (smaller + k) at least, and of
+each set only the k + 1 rarest letters can decide: a prefix-filter join on these (ordered by rarity over both sides) finds the pairs, those
+that cannot reach the threshold by length or position are dropped, and the rest is verified exactly: Jaccard, then edits. The
+best entry of each word is kept; a value means an entry if all its words that mean one mean the same.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 
 from sonoplan.session import durable
 
-#: Least Jaccard similarity of the gram sets.
-SIMILAR = 0.2
-#: Distinct values up to which the finished map is broadcast; beyond that it is joined by shuffle.
+#: Edits that a name may bear; each number is a class of names with a prefix of its own.
+MOST_EDITS = 2
+#: Rows up to which a map or list is broadcast; beyond that it is joined by shuffle.
 BROADCAST_VALUES = 200_000
 #: Characters typed for letters.
 _LOOKALIKE = str.maketrans("1@0345$", "iaoeass")
@@ -91,40 +93,55 @@ def _value_words(batches):
         yield pd.DataFrame(rows, columns=["typed", "word", "place", "n_words"]).astype({"place": "int32", "n_words": "int32"})
 
 
-def _gram_sets(batches):
+def letters(word: str) -> list[str]:
+    """The word's letters, counted: a second a is another token than the first."""
+    return [f"{c}{k}" for c, n in sorted(Counter(word).items()) for k in range(1, n + 1)]
+
+
+def _letter_sets(batches):
     for b in batches:
-        yield pd.DataFrame({"word": b["word"], "grams": [grams(w) for w in b["word"]]})
+        yield pd.DataFrame({"word": b["word"], "tokens": [letters(w) for w in b["word"]], "bears": pd.array([allowed(w) for w in b["word"]], "int32")})
+
 
+def _small(kept: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is short."""
+    return F.broadcast(kept) if kept.count() <= BROADCAST_VALUES else kept
 
-def similar_words(words: DataFrame, names: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """word, name, jaccard of all pairs with at least this Jaccard similarity of their grams. Both tables have a column word of distinct words."""
-    shape = "word string, grams array<string>"
-    left, right = words.select("word").mapInPandas(_gram_sets, shape), names.select("word").mapInPandas(_gram_sets, shape)
-    left, right = durable(left), durable(right)
-    rarity = left.unionByName(right).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+def similar_words(words: DataFrame, names: DataFrame) -> DataFrame:
+    """word, name, jaccard: all pairs whose sets of letters are as similar as a word within the edits that the name bears must be. Both tables have a column word of distinct words."""
+    shape = "word string, tokens array<string>, bears int"
+    left, right = durable(words.select("word").mapInPandas(_letter_sets, shape)), durable(names.select("word").mapInPandas(_letter_sets, shape))
+    rarity = left.unionByName(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def ordered(side: DataFrame) -> DataFrame:
+        ranked = side.select("word", "bears", F.explode("tokens").alias("token")).join(rarity, "token")
+        return ranked.groupBy("word", "bears").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).select("word", "bears", F.size("t").alias("n"), F.transform("t", lambda x: x["token"]).alias("t"))
 
     def prefixes(side: DataFrame, tag: str) -> DataFrame:
-        ranked = side.select("word", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(rarity, "gram")
-        ordered = ranked.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-        reach = F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1
-        return ordered.select(F.col("word").alias(f"word_{tag}"), F.col("n").alias(f"n_{tag}"), F.posexplode(F.slice("g", F.lit(1), reach)).alias(f"at_{tag}", "x")).select(f"word_{tag}", f"n_{tag}", f"at_{tag}", F.col("x.gram").alias("gram"))
-
-    a, b = prefixes(left, "a"), prefixes(right, "b")
-    length = (F.col("n_a") >= F.lit(least) * F.col("n_b")) & (F.col("n_b") >= F.lit(least) * F.col("n_a"))
-    needed = F.ceil(F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
-    position = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed
-    # the first common gram of two prefixes decides; later ones would only repeat the pair
-    met = a.join(b, "gram").where(length).groupBy("word_a", "word_b").agg(F.min_by(F.struct("n_a", "n_b", "at_a", "at_b"), "at_a").alias("m")).select("word_a", "word_b", "m.*").where(position).select("word_a", "word_b")
-    both = met.join(left.select(F.col("word").alias("word_a"), F.col("grams").alias("grams_a")), "word_a").join(right.select(F.col("word").alias("word_b"), F.col("grams").alias("grams_b")), "word_b")
-    jaccard = F.size(F.array_intersect("grams_a", "grams_b")) / F.size(F.array_union("grams_a", "grams_b"))
-    return both.select(F.col("word_a").alias("word"), F.col("word_b").alias("name"), jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
+        """The first k + 1 letters for k edits: one of them is shared by any two sets that miss at most k of the larger."""
+        return side.select(F.col("word").alias(f"word_{tag}"), F.col("n").alias(f"n_{tag}"), "k", F.posexplode(F.slice("t", F.lit(1), F.col("k") + 1)).alias(f"at_{tag}", "token"))
+
+    a = prefixes(ordered(left).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(MOST_EDITS)))), "a")
+    b = prefixes(ordered(right).withColumn("k", F.col("bears")), "b")
+    length = F.abs(F.col("n_a") - F.col("n_b")) <= F.col("k")
+    position = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.greatest("n_a", "n_b") - F.col("k")
+    # the first common letter of two prefixes decides; later ones would only repeat the pair
+    met = a.join(_small(durable(b)), ["k", "token"]).where(length).groupBy("word_a", "word_b", "k").agg(F.min_by(F.struct("n_a", "n_b", "at_a", "at_b"), "at_a").alias("m")).select("word_a", "word_b", "k", "m.*").where(position)
+    both = met.join(left.select(F.col("word").alias("word_a"), F.col("tokens").alias("tokens_a")), "word_a").join(_small(right.select(F.col("word").alias("word_b"), F.col("tokens").alias("tokens_b"))), "word_b")
+    jaccard = F.size(F.array_intersect("tokens_a", "tokens_b")) / F.size(F.array_union("tokens_a", "tokens_b"))
+    least = (F.greatest("n_a", "n_b") - F.col("k")) / (F.least("n_a", "n_b") + F.col("k"))
+    return both.select(F.col("word_a").alias("word"), F.col("word_b").alias("name"), jaccard.alias("jaccard"), least.alias("least")).where("jaccard >= least - 1e-9").drop("least")
 
 
 def _verified(batches):
+    """Pairs within the edits that the name bears, with the Jaccard similarity of their grams, which tells places apart too."""
     for b in batches:
-        apart = [edits(w, n) for w, n in zip(b["word"], b["name"])]
-        fine = [d <= allowed(n) for d, n in zip(apart, b["name"])]
-        yield b.assign(apart=pd.array(apart, "int32"))[fine]
+        pairs = list(zip(b["word"], b["name"]))
+        apart = [edits(w, n) for w, n in pairs]
+        alike = [len(x & y) / len(x | y) for w, n in pairs for x, y in [(set(grams(w)), set(grams(n)))]]
+        fine = [d <= allowed(n) for d, (_, n) in zip(apart, pairs)]
+        yield b.assign(apart=pd.array(apart, "int32"), jaccard=pd.array(alike, "float64"))[fine]
 
 
 def meanings(values: DataFrame, entries: DataFrame, code: str, codes: list[str], name: str, others: str) -> DataFrame:
@@ -161,11 +178,9 @@ def meanings(values: DataFrame, entries: DataFrame, code: str, codes: list[str],
 
 
 def canonical(rows: DataFrame, entries: DataFrame, code: str, codes: list[str], name: str, others: str) -> DataFrame:
-    """rows (with a column typed) with the code of the entry meant, `none` if unmatched; null stays null. Exact names are found without the join."""
-    exact = entries.select(F.col(name).alias("__name"), F.col(code).alias("__code")).dropDuplicates(["__name"])
-    open_ = rows.where("typed IS NOT NULL").select("typed").distinct().join(F.broadcast(exact), F.col("typed") == F.col("__name"), "left_anti")
-    found = durable(meanings(durable(open_), entries, code, codes, name, others)).select(F.col("typed").alias("__typed"), F.col("code").alias("__found"))
-    if found.count() <= BROADCAST_VALUES:
-        found = F.broadcast(found)
-    both = rows.join(F.broadcast(exact), F.col("typed") == F.col("__name"), "left").join(found, F.col("typed") == F.col("__typed"), "left")
-    return both.withColumn("code", F.coalesce("__code", "__found")).drop("__name", "__code", "__typed", "__found")
+    """rows (with a column typed) with code, the entry meant, `none` if unmatched, and exact, whether the value is the entry's very name; null stays null. Exact names are found without the join."""
+    exact = _small(durable(entries.where(F.col(name).isNotNull()).select(F.col(name).alias("__name"), F.col(code).alias("__code")).dropDuplicates(["__name"])))
+    open_ = rows.where("typed IS NOT NULL").select("typed").distinct().join(exact, F.col("typed") == F.col("__name"), "left_anti")
+    found = _small(durable(meanings(durable(open_), entries, code, codes, name, others).select(F.col("typed").alias("__typed"), F.col("code").alias("__found"))))
+    both = rows.join(exact, F.col("typed") == F.col("__name"), "left").join(found, F.col("typed") == F.col("__typed"), "left")
+    return both.withColumns({"code": F.coalesce("__code", "__found"), "exact": F.when(F.col("typed").isNotNull(), F.col("__name").isNotNull())}).drop("__name", "__code", "__typed", "__found")

@@ -17,16 +17,20 @@ from sonoplan.llm.sql import SQL
 from sonoplan.sources.tables import table
 
 
-def p3_mapped(spark: SparkSession, folder: str) -> DataFrame:
-    """source_table, sample_id, typed, code of each distinct sample of both tables; code is null where nothing was typed."""
+def _typed_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """source_table, sample_id, typed, code, exact of each distinct sample of both tables."""
     typed = lambda name, c: table(spark, folder, name).select(F.lit(name).alias("source_table"), "sample_id", F.col(c).alias("typed")).distinct()
     rows = typed("indicvoices", "lang").unionByName(typed("indicsynth", "language"))
     return canonical(rows, table(spark, folder, "language_list"), "language_code", ["iso3"], "name", "other_names")
 
 
+def p3_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """source_table, sample_id, typed, code of each distinct sample of both tables; code is null where nothing was typed."""
+    return _typed_languages(spark, folder).drop("exact")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    exact = table(spark, folder, "language_list").select(F.col("name").alias("typed"))
-    return p3_mapped(spark, folder).where("typed IS NOT NULL").join(F.broadcast(exact), "typed", "left_anti").select("source_table", "sample_id", F.col("code").alias("language_code"))
+    return _typed_languages(spark, folder).where("NOT exact").select("source_table", "sample_id", F.col("code").alias("language_code"))
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:

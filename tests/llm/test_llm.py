@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from compare import connect, differ
 from sonoplan.llm import calibrate, grouped_split, queries, sql
 from sonoplan.llm.bpe import VOCABULARY, Encoder, encode_texts
-from sonoplan.llm.canonical import allowed, edits, grams, meanings, similar_words, words_of
+from sonoplan.llm.canonical import allowed, edits, letters, meanings, similar_words, words_of
 from sonoplan.llm.leak import Items, find_leaks, find_near, index_block, pack, terms, unpack
 from sonoplan.llm.overlap import FullTextIndex, overlap_pairs
 from sonoplan.llm.pieces import Limits, cut, split_oversized, strengths
@@ -202,9 +202,10 @@ def test_similarity_join_against_all_pairs(spark):
     rng = random.Random(7)
     names = ["hindi", "punjabi", "tamil", "telugu", "kannada", "malayalam", "odia"]
     words = sorted({"".join(rng.choice(n) if rng.random() < 0.2 else c for c in n) for n in names for _ in range(30)} | {"", "x"})
-    got = {(r.word, r.name): round(r.jaccard, 9) for r in similar_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(n,) for n in names], "word string"), 0.3).collect()}
+    got = {(r.word, r.name): round(r.jaccard, 9) for r in similar_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(n,) for n in names], "word string")).collect()}
     jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
-    want = {(w, n): round(j, 9) for w in words for n in names if (j := jaccard(grams(w), grams(n))) >= 0.3}
+    enough = lambda w, n: len(set(letters(w)) & set(letters(n))) >= max(len(w), len(n)) - allowed(n)
+    want = {(w, n): round(jaccard(letters(w), letters(n)), 9) for w in words for n in names if w and enough(w, n)}
     assert got == want
 
 
@@ -225,8 +226,9 @@ def test_allowed_edits_are_similar_enough():
                     del w[k]
                 elif k + 1 < len(w):
                     w[k], w[k + 1] = w[k + 1], w[k]
-            a, b = set(grams("".join(w))), set(grams(name))
-            assert len(a & b) / len(a | b) >= 0.2 or edits("".join(w), name) > allowed(name), "".join(w)
+            w = "".join(w)
+            if edits(w, name) <= allowed(name):
+                assert len(set(letters(w)) & set(letters(name))) >= max(len(w), len(name)) - allowed(name), w
 
 
 def test_meanings(spark):
