@@ -11,7 +11,7 @@ from sonoplan.llm import calibrate, grouped_split
 from sonoplan.llm.bpe import encode_texts
 from sonoplan.llm.canonical import canonical
 from sonoplan.llm.leak import find_leaks, find_near
-from sonoplan.llm.overlap import overlap_pairs, overlap_report
+from sonoplan.llm.overlap import overlap_pairs, overlap_report, overlap_spans
 from sonoplan.llm.pieces import split_oversized
 from sonoplan.llm.sql import SQL
 from sonoplan.sources.tables import table
@@ -46,6 +46,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pairs(spark, folder).select("id_a", "id_b")
 
 
+def p4_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_spans(table(spark, folder, "baseline_rows"), table(spark, folder, "recording_windows"))
+
+
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(table(spark, folder, "baseline_rows"), p4_pairs(spark, folder))
 
@@ -126,5 +130,5 @@ def p8_near(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("near_windows * 2 >= item_windows")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_report, p5_found, p5_report, p5_cells, p5_margins, p5_sample, p6_found, p6_splits, p6_report, p8_found, p8_passages, p8_items, p8_near, p7_ids, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_spans, p4_report, p5_found, p5_report, p5_cells, p5_margins, p5_sample, p6_found, p6_splits, p6_report, p8_found, p8_passages, p8_items, p8_near, p7_ids, p9_pieces, p9_found)}
 __all__ = ["QUERIES", "SQL"]

@@ -17,6 +17,14 @@ pairs AS (
   UNION SELECT t, e, 0, k FROM shared s JOIN size x ON x.id = t AND x.is_train JOIN size y ON y.id = e AND NOT y.is_train WHERE 2 * k >= least(x.n, y.n)),
 found AS (SELECT least(t, e) id_a, greatest(t, e) id_b, bool_or(kind = 1) same_audio, bool_or(kind = 2) same_window, max(k) shared_windows FROM pairs WHERE t <> e GROUP BY 1, 2)"""
 
+_SPANS = f"""
+seat AS (SELECT id, is_train, d, row_number() OVER (PARTITION BY id, is_train ORDER BY k) - 1 at_ FROM (
+  SELECT r.id, is_train, d, min(k) k FROM (SELECT id, coalesce(window_index, 0) k, {_digest('window_sha256')} d FROM recording_windows) JOIN (SELECT DISTINCT id, is_train FROM rec) r USING (id) WHERE d IS NOT NULL GROUP BY ALL)),
+together AS (SELECT s.t, s.e, x.at_ ta, y.at_ ea FROM shared s JOIN size p ON p.id = s.t AND p.is_train JOIN size q ON q.id = s.e AND NOT q.is_train
+  JOIN seat x ON x.id = s.t AND x.is_train JOIN seat y ON y.id = s.e AND NOT y.is_train AND x.d = y.d WHERE 2 * k >= least(p.n, q.n) AND s.t <> s.e),
+span AS (SELECT t, e, min(ta) ta, min(ea) ea, count(*) AS length FROM (SELECT *, ta - row_number() OVER (PARTITION BY t, e, ta - ea ORDER BY ta) i FROM together) GROUP BY t, e, ta - ea, i),
+longest AS (SELECT least(t, e) id_a, greatest(t, e) id_b, max(length) longest_run FROM span GROUP BY 1, 2)"""
+
 _BLANK = r"[\s\x{a0}]"
 _MISSING = r"({0} IS NULL OR lower(regexp_replace({0}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')) IN ('', 'nan', 'none', 'null'))"
 
@@ -75,6 +83,8 @@ SQL: dict[str, str] = {
     "p8_passages": f"WITH {_RUNS} SELECT * FROM passage",
     "p8_items": f"WITH {_RUNS} SELECT item_id, count(*) FILTER (covered_words = item_words) n_whole, count(*) FILTER (covered_words * 2 >= item_words) n_half, count(*) n_any, max(longest_run) longest_run FROM passage GROUP BY item_id",
     "p4_found": f"WITH {_OVERLAP} SELECT id_a, id_b FROM found",
+    "p4_pairs": f"WITH {_OVERLAP}, {_SPANS} SELECT found.*, coalesce(longest_run, 0)::BIGINT longest_run FROM found LEFT JOIN longest USING (id_a, id_b)",
+    "p4_spans": f"WITH {_OVERLAP}, {_SPANS} SELECT t train_id, e eval_id, ta::BIGINT train_at, ea::BIGINT eval_at, length FROM span",
     "p5_found": f"WITH {_CELLS} SELECT cell_id FROM cell WHERE n_available < n_wanted",
     "p5_cells": f"WITH {_CELLS} SELECT cell_id, n_available, n_wanted, greatest(0, n_wanted - n_available)::BIGINT n_missing FROM cell",
     "p6_found": f"""WITH RECURSIVE {_GROUPS},

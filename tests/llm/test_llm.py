@@ -247,12 +247,13 @@ def test_index_against_scan():
     index = FullTextIndex(seqs)
     for _ in range(200):
         pattern = [rng.randrange(1, 6) for _ in range(rng.randrange(1, 4))]
-        low, high = np.array([0]), np.array([len(index.text)])
+        low, high = np.array([0]), np.array([index.size])
         for c in reversed(pattern):
-            low, high = index.back(np.array([c]), low, high)
-        want = sum(s[k : k + len(pattern)].tolist() == pattern for s in seqs for k in range(len(s)))
-        assert high[0] - low[0] == want
-    assert len(FullTextIndex([]).text) == 0
+            code = np.array([index.plain + c - 1])
+            low, high = index.back(code, low), index.back(code, high)
+        want = [(i, k) for i, s in enumerate(seqs) for k in range(len(s)) if s[k : k + len(pattern)].tolist() == pattern]
+        assert sorted(zip(*(x.tolist() for x in index.locate(np.arange(low[0], high[0]))))) == want
+    assert FullTextIndex([]).size == 0
 
 
 def pairs_by_loop(records, windows):
