@@ -21,6 +21,7 @@ from sonoplan.llm.bpe import SPACE, VOCABULARY, Encoder, encoder
 
 #: Strengths of boundaries. A cut has the strength of the strongest that ends at it; INSIDE is no place for a cut unless nothing else is left.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, NONE, INSIDE = 5, 4, 3, 2, 1, 0, -1
+NAMES, END = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", CLAUSE: "clause", WORD: "word", NONE: "inside a word", INSIDE: "inside a letter"}, "end"
 _BLANK = np.array([ord(c) for c in SPACE], np.uint32)
 #: Fixed value: marks that end a sentence, with the quotes and brackets that may follow, and marks inside one.
 _BOUNDS = (
@@ -78,8 +79,8 @@ def _choose(marks: np.ndarray, low: int, high: int, target: int, least: int) ->
     return int(at[np.argmin(np.abs(at - target))])
 
 
-def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits) -> list[tuple[int, int, int, int]]:
-    """first and past-last token, start and end character of each piece."""
+def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits) -> list[tuple[int, int, int, int, str]]:
+    """First and past-last token, start and end character, and what the piece ends at. A piece of a single new token isn't cut further, whatever its text alone has."""
     most, overlap = limits.most, limits.overlap
     ends = np.cumsum(enc.length[ids])
     starts = np.concatenate([[0], ends])
@@ -90,7 +91,7 @@ def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits) -> list[tuple[
     total, first, last, out = len(ids), 0, 0, []
     while True:
         room = total - first
-        high = min(first + most, total)
+        high, tries, least = min(first + most, total), 0, max(last, first + overlap) + 1
         while True:  # until the piece's own text is within the limit
             if high == total:
                 end = total
@@ -98,17 +99,19 @@ def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits) -> list[tuple[
                 fewest = max(2, -(-(room - overlap) // (most - overlap)))
                 target = first + -(-(room + (fewest - 1) * overlap) // fewest)
                 target = min(target, high)
-                floor = max(last + 1, first + overlap + 1)
-                low = max(floor, min(total - (fewest - 1) * (most - overlap), high))
+                low = max(least, min(total - (fewest - 1) * (most - overlap), high))
                 close = max(low, target - limits.near), min(high, target + limits.near)
                 # the end of a sentence or more near the target, or anywhere that takes no further piece; then any boundary
                 end = _choose(marks, *close, target, SENTENCE) or _choose(marks, low, high, target, SENTENCE) or _choose(marks, *close, target, WORD)
-                end = end or _choose(marks, floor, high, target, WORD) or _choose(marks, low, high, target, NONE) or _choose(marks, floor, high, target, NONE) or high
+                end = end or _choose(marks, least, high, target, WORD) or _choose(marks, low, high, target, NONE) or _choose(marks, least, high, target, NONE) or high
             a, b = char(first), char(end)
-            if end <= last + 1 or len(enc.encode([text[a:b]])[0]) <= most:
+            over = len(enc.encode([text[a:b]])[0]) - most
+            if over <= 0 or end <= least:
                 break
-            high = end - 1
-        out.append((first, end, a, b))
+            # a token less makes the text shorter by about a token; after some tries in longer and longer steps
+            tries += 1
+            high = max(end - max(over, 1 << tries // 4), least)
+        out.append((first, end, a, b, END if end >= total else NAMES[int(marks[end])]))
         if end >= total:
             return out
         last, first = end, max(end - overlap, 0)
@@ -117,7 +120,7 @@ def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits) -> list[tuple[
 def split_oversized(df: DataFrame, key: str, text: str, path: str = VOCABULARY, limits: Limits = Limits()) -> DataFrame:
     """key, piece_no, token_start, token_end, char_start, char_end, n_tokens, boundary, piece: the pieces of each text with more than the most tokens.
 
-    Pieces after the first begin with the last `overlap` tokens of the one before. Null, empty and short texts give no rows. A
+    boundary is what the piece ends at: paragraph, line, sentence, clause, word, inside a word, inside a letter, or end. Pieces after the first begin with the last `overlap` tokens of the one before. Null, empty and short texts give no rows. A
     character cut by a token border at a piece's start is shown whole. A map over the rows: nothing is shuffled."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -133,9 +136,9 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str = VOCABULARY,
                 if len(ids) <= limits.most:
                     continue
                 pieces = cut(enc, texts[i], ids, limits)
-                a = pd.DataFrame(pieces, columns=["token_start", "token_end", "char_start", "char_end"])
-                columns = [keys.take(pa.array([i] * len(a))), pa.array(range(len(a)), pa.int32()), *(pa.array(a[c].to_numpy(), pa.int64()) for c in a), pa.array((a.token_end - a.token_start).to_numpy(), pa.int64()), pa.array([texts[i][x:y] for x, y in zip(a.char_start, a.char_end)])]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "piece_no", *a.columns, "n_tokens", "piece"])
+                a = pd.DataFrame(pieces, columns=["token_start", "token_end", "char_start", "char_end", "boundary"])
+                columns = [keys.take(pa.array([i] * len(a))), pa.array(range(len(a)), pa.int32()), *(pa.array(a[c].to_numpy(), pa.int64()) for c in a.columns[:4]), pa.array((a.token_end - a.token_start).to_numpy(), pa.int64()), pa.array(a.boundary.tolist(), pa.string()), pa.array([texts[i][x:y] for x, y in zip(a.char_start, a.char_end)])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "piece_no", *a.columns[:4], "n_tokens", "boundary", "piece"])
 
-    schema = f"key {kind}, piece_no int, token_start bigint, token_end bigint, char_start bigint, char_end bigint, n_tokens bigint, piece string"
+    schema = f"key {kind}, piece_no int, token_start bigint, token_end bigint, char_start bigint, char_end bigint, n_tokens bigint, boundary string, piece string"
     return df.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)

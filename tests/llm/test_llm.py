@@ -82,11 +82,11 @@ def test_pieces_keep_limits(enc, text):
     pieces = cut(enc, text, ids, limits)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(ids)
     marks = strengths(text, np.concatenate([[0], np.cumsum(enc.length[ids])]))
-    for (s, e, a, b), (s2, e2, _, _) in zip(pieces, pieces[1:]):
+    for (_, e, *_), (s2, e2, *_) in zip(pieces, pieces[1:]):
         assert s2 == e - limits.overlap and e2 > e
-    for s, e, a, b in pieces:
+    for s, e, a, b, _ in pieces:
         assert e - s <= limits.most and len(enc.encode([text[a:b]])[0]) <= limits.most
-    for s, e, _, _ in pieces[:-1]:
+    for s, e, *_ in pieces[:-1]:
         if marks[e] < 1:  # every boundary that the limit allows would make a piece whose own text is too long
             assert not [k for k in range(s + limits.overlap + 1, e + 1) if marks[k] >= 1 and k > s + limits.overlap]
 
@@ -95,7 +95,7 @@ def test_pieces_end_at_paragraphs(enc):
     text = "\n\n".join("one two three four five." for _ in range(60))
     ids = enc.encode([text])[0]
     pieces = cut(enc, text, ids, Limits(most=100, overlap=10, near=20))
-    assert all(text[:b].endswith("\n\n") for _, _, _, b in pieces[:-1])
+    assert all(text[:b].endswith("\n\n") and kind == "paragraph" for _, _, _, b, kind in pieces[:-1]) and pieces[-1][4] == "end"
 
 
 def test_split_oversized(spark):
