@@ -396,6 +396,28 @@ def test_groups_of_nulls(spark):
     assert grouped_split.split_groups(grouped_split.grouped(df.limit(0)), queries.RATIOS).count() == 0
 
 
+def test_a_record_stored_twice_relates_its_speakers_and_files(spark):
+    rows = [("a", "mlaad::1", "f.wav", "train"), ("a", "mlaad::2", "f.wav", "train"), ("b", "mlaad::2", None, "dev"), ("c", None, "g.wav", "test"), ("c", None, "h.wav", "test"), ("d", None, "g.wav", "train"), ("e", "mlaad::3", "h.wav", "test"), ("f", None, "i.wav", "dev")]
+    df = spark.createDataFrame([(*r, "spoof") for r in rows], "sample_id string, speaker_id string, source_file string, split string, label string")
+    got = {}
+    for r in grouped_split.grouped(df).collect():
+        got.setdefault(r.component, set()).add(r.sample_id)
+    assert sorted(map(sorted, got.values())) == [["a", "b"], ["c", "d", "e"], ["f"]]
+
+
+def test_large_maps_and_rounded_bundles(spark, monkeypatch):
+    rows = grouped_split.grouped(spark.read.parquet(f"{FOLDER}/manifest.parquet"))
+    usual = {r[0] for r in grouped_split.broken(rows).collect()}
+    monkeypatch.setattr(grouped_split, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(grouped_split, "MOST_BUNDLES", 5)
+    rows = grouped_split.grouped(spark.read.parquet(f"{FOLDER}/manifest.parquet"))
+    assert {r[0] for r in grouped_split.broken(rows).collect()} == usual
+    got = grouped_split.split_groups(rows, queries.RATIOS).toPandas()
+    assert not got.sample_id.duplicated().any() and got.groupby("component").new_split.nunique().max() == 1 and len(got) == rows.count()
+    shares = got.new_split.value_counts(normalize=True)
+    assert all(abs(shares[k] - v) < 0.1 for k, v in queries.RATIOS.items())
+
+
 def test_allocation_meets_quotas():
     rng = random.Random(12)
     bundles = [(a, b, rng.randrange(1, 60)) for a in range(0, 9) for b in range(0, 3) if a + b] + [(500, 0, 1), (0, 300, 1)]
