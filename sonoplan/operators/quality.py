@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from sonoplan.functions.text import is_missing
 from sonoplan.session import durable, partitions
 
+#: Counted values of a block, about.
+BLOCK = 500_000
+
 
 @dataclass(frozen=True)
 class Checked:
@@ -50,22 +53,23 @@ def counted_values(df: DataFrame, load: str, columns: list[Checked]) -> DataFram
 
 
 def load_summary(counts: DataFrame) -> DataFrame:
-    """Per column and load: rows, missing, malformed, well-formed, distinct values, range, rows of the commonest well-formed value."""
+    """Per column and load: rows, missing, malformed, well-formed, distinct malformed values, range of those present, rows of the commonest well-formed value."""
     n, status = F.col("n"), F.col("status")
     present = status != "missing"
     part = lambda s: F.coalesce(F.sum(F.when(status == s, n)), F.lit(0)).cast("bigint")
     return counts.groupBy("column_name", "load_id").agg(
         F.sum("n").alias("n_rows"), part("missing").alias("n_missing"), part("malformed").alias("n_malformed"), part("ok").alias("n_ok"),
-        F.count(F.when(present, 1)).alias("n_distinct"),
+        F.count(F.when(status == "malformed", 1)).alias("n_odd"),
         F.min("number").alias("min_number"), F.max("number").alias("max_number"), F.min("words").alias("min_words"), F.max("words").alias("max_words"),
         F.coalesce(F.max(F.when(status == "ok", n)), F.lit(0)).cast("bigint").alias("n_top"),
     )
 
 
 def placed_values(counts: DataFrame) -> DataFrame:
-    """Well-formed counted values, sorted by range into blocks. Kept in the shared folder: a block keeps its bounds when a task is run again."""
+    """Well-formed counted values, sorted by range into blocks of bounded size. Kept in the shared folder: a block keeps its bounds when a task is run again."""
     ok = counts.where(F.col("status") == "ok").select("column_name", "load_id", "number", "words", "n")
-    ranged = ok.repartitionByRange(partitions(counts.sparkSession), "column_name", "number", "words")
+    blocks = max(partitions(counts.sparkSession), -(-ok.count() // BLOCK))
+    ranged = ok.repartitionByRange(blocks, "column_name", "number", "words")
     return durable(ranged.withColumn("block", F.spark_partition_id()))
 
 
@@ -102,7 +106,7 @@ def _at(rank: Column) -> Column:
 
 
 def distribution(curve: DataFrame) -> DataFrame:
-    """Per column and load: exact quartiles (numbers), Kolmogorov-Smirnov and total-variation distance to all loads together."""
+    """Per column and load: places of the curve (distinct well-formed values), exact quartiles (numbers), Kolmogorov-Smirnov and total-variation distance to all loads together."""
     total, share, share_all = F.col("total"), F.col("n") / F.col("total"), F.col("n_all") / F.col("total_all")
     gap = F.greatest(
         F.abs(F.col("cum") / total - F.col("cum_all") / F.col("total_all")),
@@ -113,10 +117,10 @@ def distribution(curve: DataFrame) -> DataFrame:
         rank = (total - 1) * F.lit(q)
         sides |= {f"{name}_low": _at(F.floor(rank)), f"{name}_high": _at(F.ceil(rank))}
     out = curve.groupBy("column_name", "load_id").agg(
-        F.max("total").alias("total"), F.max(gap).alias("ks_all"), F.sum(F.abs(share - share_all)).alias("near"), F.sum(share_all).alias("seen"), *(e.alias(n) for n, e in sides.items()),
+        F.count(F.lit(1)).alias("n_places"), F.max("total").alias("total"), F.max(gap).alias("ks_all"), F.sum(F.abs(share - share_all)).alias("near"), F.sum(share_all).alias("seen"), *(e.alias(n) for n, e in sides.items()),
     )
     between = lambda n, q: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * ((total - 1) * F.lit(q) % 1)
-    return out.select("column_name", "load_id", "ks_all", ((F.col("near") + 1 - F.col("seen")) / 2).alias("tv_all"), between("q25", 0.25).alias("q25"), between("median", 0.5).alias("median"), between("q75", 0.75).alias("q75"))
+    return out.select("column_name", "load_id", "n_places", "ks_all", ((F.col("near") + 1 - F.col("seen")) / 2).alias("tv_all"), between("q25", 0.25).alias("q25"), between("median", 0.5).alias("median"), between("q75", 0.75).alias("q75"))
 
 
 def between_loads(placed: DataFrame) -> DataFrame:
@@ -140,14 +144,14 @@ def between_loads(placed: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, load: str, columns: list[Checked]) -> DataFrame:
     """The whole profile, one row per column and load. Distances and quartiles are null where a load has no well-formed value."""
-    counts = counted_values(df, load, columns)
+    counts = durable(counted_values(df, load, columns))
     placed = placed_values(counts)
     parts = [(distribution(curves(placed)), "d"), (between_loads(placed), "b")]
     out = load_summary(counts)
     for part, tag in parts:
         named = part.select(F.col("column_name").alias(f"__column_name{tag}"), F.col("load_id").alias(f"__load_id{tag}"), *[c for c in part.columns if c not in ("column_name", "load_id")])
         out = out.join(named, (F.col("column_name") == F.col(f"__column_name{tag}")) & F.col("load_id").eqNullSafe(F.col(f"__load_id{tag}")), "left").drop(f"__column_name{tag}", f"__load_id{tag}")
-    return out
+    return out.withColumn("n_distinct", F.col("n_odd") + F.coalesce("n_places", F.lit(0))).drop("n_odd", "n_places")
 
 
 @dataclass(frozen=True)
@@ -163,8 +167,8 @@ def findings(df: DataFrame, load: str, columns: list[Checked], constant: set[str
     """load_id, column_name, finding (missing, format, range, constant, shift) of the loads that depart from the rest.
 
     constant, shift: columns for which these findings apply. A load without well-formed values has neither of them."""
-    counts = counted_values(df, load, columns)
-    placed = placed_values(counts.where(F.col("column_name").isin(*shift)))
+    counts = durable(counted_values(df, load, columns))
+    placed = placed_values(counts)
     spread = distribution(curves(placed)).select(F.col("column_name").alias("__column"), F.col("load_id").alias("__load"), "median", "tv_all")
     base = load_summary(counts).join(spread, (F.col("column_name") == F.col("__column")) & F.col("load_id").eqNullSafe(F.col("__load")), "left")
     every = W.partitionBy("column_name")

@@ -8,6 +8,7 @@ The broadcast list has at most 2 / share keys whatever the table's size.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -30,14 +31,16 @@ def heavy_keys(df: DataFrame, columns: list[str], share: float) -> tuple[dict[st
     return {c: [x["item"] for x in found[f"__{i}"] or [] if x["count"] >= share * rows] for i, c in enumerate(columns)}, rows
 
 
-def aggregate_by_key(df: DataFrame, key: str, sums: dict[str, Column], distinct: tuple[str, Column] | None = None, share: float = 0.01, salts: int = 32) -> DataFrame:
+def aggregate_by_key(df: DataFrame, key: str, sums: dict[str, Column], distinct: tuple[str, Column] | None = None, share: float = 0.01, salts: int = 32, heavy: list | None = None) -> DataFrame:
     """One row per value of `key` (null is a value): the sums, and the number of distinct non-null values of one expression.
 
+    heavy: the heavy keys, where they are known already.
     Salts follow the counted expression, so that partial distinct counts of a heavy key add up. An empty table gives no rows.
     Other columns of df don't matter, whatever their names."""
-    heavy, _ = heavy_keys(df.select(key), [key], share)
+    if heavy is None:
+        heavy = heavy_keys(df.select(key), [key], share)[0][key]
     kind = df.schema[key].dataType
-    listed = F.broadcast(df.sparkSession.createDataFrame([(x,) for x in heavy[key]], T.StructType([T.StructField("__heavy", kind)])))
+    listed = F.broadcast(df.sparkSession.createDataFrame([(x,) for x in heavy], T.StructType([T.StructField("__heavy", kind)])))
     narrow = df.select(F.col(key).alias("__key"), (distinct[1] if distinct else F.lit(0)).alias("__unit"), F.monotonically_increasing_id().alias("__row"), *(e.alias(n) for n, e in sums.items()))
     salt = F.pmod(F.xxhash64("__unit") if distinct else F.col("__row"), F.lit(salts))
     measures = [F.sum(n).alias(n) for n in sums] + ([F.countDistinct("__unit").alias(distinct[0])] if distinct else [])
@@ -51,10 +54,8 @@ def aggregate_by_key(df: DataFrame, key: str, sums: dict[str, Column], distinct:
 def frequent_values(df: DataFrame, columns: list[str], share: float) -> DataFrame:
     """field_name, key_value, n_rows of each non-missing value, as stored, that stands in at least `share` of all rows.
 
-    Only rows of the sketch's candidates are counted: each is found by a broadcast join with the candidates and counted exactly."""
+    All keys are counted, the sketch's heavy ones over salts and the others by an ordinary shuffle, so that the result doesn't rest on the sketch."""
     narrow = df.select(*(F.col(c).cast("string").alias(c) for c in columns))
     heavy, rows = heavy_keys(narrow, columns, share)
-    candidates = df.sparkSession.createDataFrame([(c, x) for c in columns for x in heavy[c] if x is not None], "field_name string, key_value string")
-    pairs = narrow.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field_name"), F.col(c).alias("key_value")) for c in columns))).alias("p")).select("p.*")
-    counted = pairs.join(F.broadcast(candidates), ["field_name", "key_value"]).groupBy("field_name", "key_value").agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.where((F.col("n_rows") >= F.lit(share) * F.lit(rows)) & ~is_missing(F.col("key_value")))
+    per = [aggregate_by_key(narrow, c, {"n_rows": F.lit(1)}, heavy=heavy[c]).select(F.lit(c).alias("field_name"), F.col(c).alias("key_value"), "n_rows") for c in columns]
+    return reduce(DataFrame.unionByName, per).where((F.col("n_rows") >= F.lit(share) * F.lit(rows)) & ~is_missing(F.col("key_value")))
