@@ -35,14 +35,14 @@ def speaker_key(c: Column) -> Column:
     joined = F.regexp_replace(bare, r"^([^:]+):+(?:speaker:+)?", "$1::")
     full = F.when(~is_missing(c), F.regexp_replace(F.regexp_replace(joined, r"\.0*$", ""), r"::0+(?=\d)", "::"))
     # most values need no repair
-    return F.when(c.rlike("^[a-z]+::(0|[1-9][0-9]*)$"), c).otherwise(full)
+    return F.when(c.rlike(r"^[a-z]+::(0|[1-9][0-9]*)\z"), c).otherwise(full)
 
 
 def file_key(c: Column) -> Column:
     """One spelling for a file: lower case, forward slashes, no `.` or empty steps; null where missing."""
     path = F.regexp_replace(F.lower(tidy(c)), r"[\\/]+", "/")
     full = F.when(~is_missing(c), F.regexp_replace(path, r"(^|/)(\./)+", "$1"))
-    return F.when(c.rlike("^[A-Za-z0-9_]+(/[A-Za-z0-9_]+)+[.][A-Za-z0-9]+$"), F.lower(c)).otherwise(full)
+    return F.when(c.rlike(r"^[A-Za-z0-9_]+(/[A-Za-z0-9_]+)+[.][A-Za-z0-9]+\z"), F.lower(c)).otherwise(full)
 
 
 def digest_key(c: Column) -> Column:

@@ -13,15 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonoplan.functions.fields import MANIFEST, window_id
 from sonoplan.operators import waveform
+from sonoplan.session import durable
 
 RATE, N_FFT, WINDOW, HOP, MELS, LOW, HIGH = 16000, 512, 400, 160, 64, 20.0, 7600.0
+#: First bytes of containers that need a decoder of their own.
+CONTAINERS = {b"fLaC": "flac", b"OggS": "ogg", b"caff": "caf", b"FORM": "aiff"}
 
 
 def decode_wav(data: bytes | None) -> tuple[np.ndarray, int] | str:
-    """Samples (frames, channels) in -1..1 and rate, or what is wrong."""
+    """Samples (frames, channels) in -1..1 and rate of a WAV of 8, 16, 24 or 32 bits, or what is wrong. Other containers are named, not decoded."""
     if not data:
         return "empty file"
+    if data[:4] in CONTAINERS or data[:3] == b"ID3":
+        return f"no decoder for {CONTAINERS.get(data[:4], 'mp3')}"
     try:
         with wave.open(io.BytesIO(data)) as f:
             width, channels, rate, frames = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
@@ -33,6 +39,9 @@ def decode_wav(data: bytes | None) -> tuple[np.ndarray, int] | str:
         x = np.frombuffer(frames, "<i2").astype(np.float32) / 32768
     elif width == 4:
         x = np.frombuffer(frames, "<i4").astype(np.float32) / 2147483648
+    elif width == 3:
+        parts = np.frombuffer(frames, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = (((parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16) ^ 0x800000) - 0x800000).astype(np.float32) / 8388608
     elif width == 1:
         x = (np.frombuffer(frames, np.uint8).astype(np.float32) - 128) / 128
     else:
@@ -49,7 +58,7 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
         f.setnchannels(1 if samples.ndim == 1 else samples.shape[1])
         f.setsampwidth(2)
         f.setframerate(rate)
-        f.writeframes(np.floor(np.clip(samples, -1, 1) * 32767 + 0.5).astype("<i2").tobytes())
+        f.writeframes(np.floor(np.clip(np.asarray(samples, np.float64), -1, 1) * 32767 + 0.5).astype("<i2").tobytes())
     return out.getvalue()
 
 
@@ -112,8 +121,8 @@ def log_mels(df: DataFrame, key: str, samples: str, rate: int = RATE) -> DataFra
     return made.select(F.col("key").alias(key), "n_frames", "feature", F.sha2("feature", 256).alias("sha"))
 
 
-def decoded(files: DataFrame, to_rate: int = RATE) -> DataFrame:
-    """path, sample_rate, channels, n_frames, samples (mono at to_rate), audio_error: one row per file of a binary scan (path, content); a broken file has an error and no samples."""
+def decoded(files: DataFrame, to_rate: int | None = RATE) -> DataFrame:
+    """path, sample_rate, channels, n_frames, samples (mono at to_rate, or at the file's rate), audio_error: one row per file of a binary scan (path, content); a broken file has an error and no samples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -124,7 +133,7 @@ def decoded(files: DataFrame, to_rate: int = RATE) -> DataFrame:
                     rows.append((path, None, None, None, None, got))
                 else:
                     x, rate = got
-                    rows.append((path, rate, x.shape[1], len(x), resample(x.mean(1), rate, to_rate).astype(np.float32), None))
+                    rows.append((path, rate, x.shape[1], len(x), resample(x.mean(1), rate, to_rate or rate).astype(np.float32), None))
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "n_frames", "samples", "audio_error"]).astype({"sample_rate": "Int32", "channels": "Int32", "n_frames": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, "path string, sample_rate int, channels int, n_frames bigint, samples array<float>, audio_error string")
@@ -138,24 +147,64 @@ def inspected(rows: DataFrame, decoded_files: DataFrame, path: str) -> DataFrame
 
 def quarantine(df: DataFrame, samples: Column, rate: int, window: int, hop: int) -> DataFrame:
     """df with reason: null where the clip passes all checks and gives a window, else the first failed check. Both kinds of record go the same way."""
-    checks = waveform.report(samples, F.lit(rate), F.lit(1))
-    failed = F.filter(checks, lambda c: ~c["passed"])
     short = F.size(waveform.starts(F.coalesce(F.size(samples), F.lit(0)), window, hop, False)) == 0
-    return df.withColumn("reason", F.when(F.size(failed) > 0, failed[0]["name"]).when(short, F.lit("too_short_for_a_window")))
+    return df.withColumn("reason", F.coalesce(waveform.first_failure(waveform.report(samples, F.lit(rate), F.lit(1))), F.when(short, F.lit("too_short_for_a_window"))))
+
+
+def resampled(df: DataFrame, samples: str, rate: str, to_rate: int) -> DataFrame:
+    """df with its samples at to_rate; null samples stay null."""
+    at, rates = df.columns.index(samples), df.columns.index(rate)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b.isetitem(at, pd.Series([None if x is None else resample(np.asarray(x, np.float32), int(r), to_rate) for x, r in zip(b.iloc[:, at], b.iloc[:, rates])], dtype=object, index=b.index))
+            yield b
+
+    return df.mapInPandas(run, df.schema)
+
+
+def processed(files: DataFrame, dataset: str, split: str, label: str, folder: str, rate: int = RATE, window: int = 4 * RATE, hop: int = 2 * RATE, keep_rest: bool = True, external: tuple[str, ...] = ("asvspoof",)) -> tuple[DataFrame, DataFrame]:
+    """The whole way of audio files (path, content; further columns are metadata): decoded, checked, made mono, resampled, checked again, cut into windows.
+
+    Gives a manifest row (the canonical columns, and samples) for each window that passes the checks, its file named by its id below folder/split,
+    and path, reason of the files that give none: an audio error, a failed check, `post-resample` before one of the second round, or that no window
+    came out. Silent windows are left out. Data sets in `external` may only be processed for the split `external`."""
+    if dataset in external and split != "external":
+        raise ValueError(f"{dataset} is for evaluation only")
+    if label not in ("bonafide", "spoof"):
+        raise ValueError(f"illegal label {label}")
+    given = [c for c in ("speaker_id", "language", "gender", "generator", "attack_type", "codec") if c in files.columns]
+    clips = decoded(files.select("path", "content"), None).join(files.select("path", *given), "path")
+    first = F.coalesce(F.when(F.col("audio_error").isNotNull(), F.concat(F.lit("audio error: "), "audio_error")), waveform.first_failure(waveform.report(F.col("samples"), F.col("sample_rate"), F.col("channels"))))
+    told = resampled(clips.withColumn("reason", first), "samples", "sample_rate", rate)
+    again = waveform.first_failure(waveform.report(F.col("samples"), F.lit(rate), F.lit(1)))
+    cut = told.withColumn("reason", F.coalesce("reason", F.concat(F.lit("post-resample "), again))).withColumn("s", F.when(F.col("reason").isNull(), waveform.segments(F.col("samples"), rate, window, hop, keep_rest)))
+    kept = durable(cut.withColumn("reason", F.coalesce("reason", F.when(F.size("s") == 0, F.lit("no segments")))).drop("samples", "audio_error"))
+    parts = kept.where("reason IS NULL").select("path", *given, F.explode("s").alias("s"))
+    good = parts.where(waveform.first_failure(waveform.report(F.col("s.samples"), F.lit(rate), F.lit(1))).isNull())
+    made = F.concat(F.lit(f"{dataset}__"), window_id(F.col("path"), F.col("s.start_seconds"), F.col("s.end_seconds")))
+    own = {
+        "sample_id": made, "source_file": F.col("path"), "processed_file": F.concat(F.lit(f"{folder}/{split}/"), made, F.lit(".wav")), "dataset": F.lit(dataset), "label": F.lit(label), "duration": F.lit(window / rate),
+        "sample_rate": F.lit(rate), "segment_start": F.col("s.start_seconds"), "segment_end": F.col("s.end_seconds"), "split": F.lit(split),
+    }
+    manifest = good.select(*(own.get(c, F.col(c) if c in given else F.lit(None).cast("string")).alias(c) for c in MANIFEST), F.col("s.samples").alias("samples"))
+    return manifest, kept.where("reason IS NOT NULL").select("path", "reason")
 
 
 @F.udtf(returnType="start_sample: int, padded: boolean, samples: array<float>")
 class SegmentWaveform:
-    """SELECT ... FROM t, LATERAL segment_waveform(samples, window, hop)"""
+    """SELECT ... FROM t, LATERAL segment_waveform(samples, window, hop): the windows of waveform.segments, the last padded at its end."""
 
     def eval(self, samples, window: int, hop: int):
-        x, at = list(samples or []), 0
-        while at < len(x):
-            part = x[at : at + window]
-            yield at, len(part) < window, part + [0.0] * (window - len(part))
-            if at + window >= len(x) and at + hop >= len(x):
-                return
+        if samples is None:
+            return
+        x, at = list(samples), 0
+        while at + window <= len(x):
+            yield at, False, x[at : at + window]
             at += hop
+        if at < len(x) or at == 0:
+            part = x[at:]
+            yield at, True, part + [0.0] * (window - len(part))
 
 
 WAVE = T.ArrayType(T.FloatType())

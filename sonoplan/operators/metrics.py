@@ -126,14 +126,15 @@ def close_enough(a: Column, b: Column, relative: float = 1e-6, absolute: float =
     return F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 
 
-def content_identity(df: DataFrame, key: str) -> DataFrame:
-    """One digest of all rows, whatever their order: digests of rows are summed as numbers by 4096 hash groups, and the sums digested in order."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    group = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
-    part = F.conv(F.substring("h", 4, 15), 16, 10).cast("decimal(38,0)")
-    sums = df.select(row.alias("h")).groupBy(group.alias("g")).agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n"))
-    line = F.concat_ws(":", "g", F.col("s").cast("string"), F.col("n"))
-    return sums.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"))
+def content_identity(df: DataFrame, columns: list[str]) -> DataFrame:
+    """digest, n_rows: one SHA-256 of all rows, whatever their order. Rows are digested, their digests gathered in 65,536 ranges, each range digested in order, then the ranges.
+
+    A row is its columns as text, in the order named, each with its length before it and a null as `-`, so that no two rows look alike."""
+    text = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    row = F.sha2(F.concat_ws(",", *map(text, columns)), 256)
+    ranges = df.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"])
+    return ranges.agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"))
 
 
 def logit_losses(df: DataFrame, logit: str = "logit") -> DataFrame:

@@ -25,20 +25,18 @@ def padded(w: Column, length: int, at_end: bool = True) -> Column:
 
 
 def starts(n: Column, window: int, hop: int, keep_rest: bool) -> Column:
-    """First samples of the windows. With keep_rest a last, padded window begins at the next hop whenever that lies before the end, and a short clip gives one padded window; without it only full windows count."""
-    full = F.when(n >= window, F.floor((n - window) / hop) + 1).otherwise(F.lit(0)).cast("int")
-    count = full + F.when(F.lit(keep_rest) & (full * hop < n), 1).otherwise(0)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: (i * hop).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """First samples of the windows. With keep_rest a last, padded window begins at the next hop whenever that lies before the end, and a clip shorter than a window, an empty one too, gives one padded window; without it only full windows count."""
+    full = F.floor((n - window) / hop).cast("int") + 1
+    count = F.when(n >= window, full + F.when(F.lit(keep_rest) & (full * hop < n), 1).otherwise(0)).otherwise(1 if keep_rest else 0)
+    return F.when(n.isNotNull() & (count > 0), F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: (i * hop).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def segments(w: Column, rate: int, window: int, hop: int, keep_rest: bool = True) -> Column:
-    """array of struct(start_seconds, end_seconds, padded, samples)."""
-    n = _n(w)
+def segments(w: Column, rate: int, window: int, hop: int, keep_rest: bool = True, at_end: bool = True) -> Column:
+    """array of struct(start_seconds, end_seconds, padded, samples). A padded window, with zeros at its end or its start, counts with its whole length."""
     return F.transform(
-        starts(n, window, hop, keep_rest),
+        starts(_n(w), window, hop, keep_rest),
         lambda s: F.struct(
-            (s / rate).alias("start_seconds"), (F.least(s + window, n) / rate).alias("end_seconds"), (s + window > n).alias("padded"),
-            F.slice(F.concat(w, F.array_repeat(F.lit(0.0).cast("float"), window)), s + 1, F.lit(window)).alias("samples"),
+            (s / rate).alias("start_seconds"), ((s + window) / rate).alias("end_seconds"), (s + window > _n(w)).alias("padded"), padded(F.slice(w, s + 1, F.lit(window)), window, at_end).alias("samples"),
         ),
     )
 
@@ -75,27 +73,34 @@ def finite(w: Column) -> Column:
     return F.forall(w, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def loud_share(w: Column, frame: int, threshold: float) -> Column:
-    """Share of frames, the last perhaps shorter, with an RMS above the threshold; 0 for an empty clip."""
+def loud_share(w: Column, frame: int | Column, threshold: float) -> Column:
+    """Share of frames, the last perhaps shorter, with an RMS above the threshold; 0 for an empty clip. A frame with a NaN isn't loud."""
+    frame = F.lit(frame) if isinstance(frame, int) else frame
     count = F.ceil(_n(w) / frame).cast("int")
-    frames = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(w, i * frame + 1, F.lit(frame)))
-    loud = F.filter(frames, lambda f: rms(f) > threshold)
+    frames = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(w, i * frame + 1, frame))
+    loud = F.filter(F.transform(frames, rms), lambda r: ~F.isnan(r) & (r > threshold))
     return F.when(_n(w) > 0, F.size(loud) / count).otherwise(0.0)
 
 
-def report(w: Column, rate: Column, channels: Column, minimum: float = 0.5, least_rms: float = 1e-4, frame: int = 8, frame_threshold: float = 1e-3, least_loud: float = 0.1) -> Column:
-    """Eight named checks in order, each with passed and value. A clip that can't be read fails all that need samples."""
+def report(w: Column, rate: Column, channels: Column, minimum: float = 0.05, silence: float = 1e-4, frame_seconds: float = 0.02, least_loud: float = 0.01) -> Column:
+    """Eight named checks in order, each with passed and value. Silence is an RMS below `silence`, of the whole clip or of all but `least_loud` of its frames. A null clip fails all that need samples."""
     readable = w.isNotNull()
     n = F.coalesce(_n(w), F.lit(0))
     seconds = F.when(rate > 0, n / rate).otherwise(0.0)
-    held = readable & (n > 0)
+    frame = F.greatest(F.lit(1), F.bround(F.greatest(rate, F.lit(1)) * F.lit(frame_seconds), 0)).cast("int")
+    level, share = rms(w), loud_share(w, frame, silence)
     one = lambda name, passed, value: F.struct(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed"), value.cast("double").alias("value"))
     return F.array(
-        one("readable_array", readable, n), one("sample_rate", rate > 0, rate), one("empty", held, n), one("finite", held & finite(w), n), one("min_duration", seconds >= minimum, seconds),
-        one("channels", channels >= 1, channels), one("not_completely_silent", held & F.exists(w, lambda x: x != 0), n), one("not_almost_silent", held & (rms(w) >= least_rms) & (loud_share(w, frame, frame_threshold) >= least_loud), rms(w)),
+        one("readable_array", readable, n), one("sample_rate", rate > 0, rate), one("empty_waveform", n > 0, n), one("finite_samples", readable & finite(w), n), one("min_duration", seconds >= minimum, seconds),
+        one("channels", channels >= 1, channels), one("not_completely_silent", readable & ~F.isnan(level) & (level >= silence), level), one("not_almost_silent", readable & (share >= least_loud), share),
     )
 
 
+def first_failure(checks: Column) -> Column:
+    """The name of the first check of report() that wasn't passed, null if all were."""
+    return F.get(F.filter(checks, lambda c: ~c["passed"]), F.lit(0))["name"]
+
+
 def clipped(w: Column) -> Column:
     return F.transform(w, lambda x: F.greatest(F.lit(-1.0).cast("float"), F.least(F.lit(1.0).cast("float"), x)))
 

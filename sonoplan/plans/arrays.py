@@ -57,7 +57,7 @@ def q54_mono(spark, folder):
 def _segments_sql(keep: bool) -> str:
     rest = "CASE WHEN f * 16 < n THEN 1 ELSE 0 END" if keep else "0"
     return f"""WITH {_CLIPS}, k AS (SELECT *, CASE WHEN n >= 24 THEN (n - 24) // 16 + 1 ELSE 0 END f FROM clips), s AS (SELECT vec_id, w, n, unnest(range(0, (f + {rest})::BIGINT)) * 16 s FROM k)
-    SELECT vec_id, (s / {RATE})::DOUBLE start_seconds, (least(s + 24, n) / {RATE})::DOUBLE end_seconds, s + 24 > n AS padded, round({_SUM.format('w[s + 1:s + 24]')}, 7) total FROM s"""
+    SELECT vec_id, (s / {RATE})::DOUBLE start_seconds, ((s + 24) / {RATE})::DOUBLE end_seconds, s + 24 > n AS padded, round({_SUM.format('w[s + 1:s + 24]')}, 7) total FROM s"""
 
 
 def _segments(spark, folder, keep: bool) -> DataFrame:
@@ -101,14 +101,18 @@ def q60_loud_share(spark, folder):
     return _clips(spark, folder).select("vec_id", waveform.loud_share(F.col("w"), 8, 0.125).alias("loud_share"))
 
 
+_RMS = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len({0}))"
+_LOUD_12 = f"len(list_filter(range(0, 8), lambda i: {_RMS.format('w[i * 8 + 1:i * 8 + 8]')} > 0.12)) / 8"
+
+
 @query(
-    f"""WITH {_CLIPS}, c AS (SELECT vec_id, unnest([{{'name': 'readable_array', 'passed': w IS NOT NULL}}, {{'name': 'sample_rate', 'passed': true}}, {{'name': 'empty', 'passed': n > 0}}, {{'name': 'finite', 'passed': true}}, {{'name': 'min_duration', 'passed': n / {RATE} >= 4.0}},
-      {{'name': 'channels', 'passed': true}}, {{'name': 'not_completely_silent', 'passed': list_bool_or(list_transform(w, lambda x: x <> 0))}},
-      {{'name': 'not_almost_silent', 'passed': ({_LOUD}) >= 0.5}}]) c FROM clips)
+    f"""WITH {_CLIPS}, c AS (SELECT vec_id, unnest([{{'name': 'readable_array', 'passed': w IS NOT NULL}}, {{'name': 'sample_rate', 'passed': {RATE} > 0}}, {{'name': 'empty_waveform', 'passed': n > 0}},
+      {{'name': 'finite_samples', 'passed': len(list_filter(w, lambda x: isnan(x) OR isinf(x))) = 0}}, {{'name': 'min_duration', 'passed': n / {RATE} >= 4.0}}, {{'name': 'channels', 'passed': true}},
+      {{'name': 'not_completely_silent', 'passed': {_RMS.format('w')} >= 0.12}}, {{'name': 'not_almost_silent', 'passed': ({_LOUD_12}) >= 0.5}}]) c FROM clips)
     SELECT c.name check_name, c.passed, count(*) n FROM c GROUP BY 1, 2"""
 )
 def q61_validation(spark, folder):
-    checks = waveform.report(F.col("w"), F.lit(RATE), F.lit(1), minimum=4.0, frame=8, frame_threshold=0.125, least_loud=0.5)
+    checks = waveform.report(F.col("w"), F.lit(RATE), F.lit(1), minimum=4.0, silence=0.12, frame_seconds=0.5, least_loud=0.5)
     flat = _clips(spark, folder).select(F.explode(checks).alias("c"))
     return flat.groupBy(F.col("c.name").alias("check_name"), F.col("c.passed").alias("passed")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -208,7 +212,16 @@ def q69_plan_report(spark, folder):
     return sampling.plan_report(_plan(spark, folder), _CELLS, _BUDGET)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SAMPLES}, u AS (SELECT split, load_id::VARCHAR AS unit, count(*) FILTER (label = 'bonafide') x, count(*) FILTER (label = 'spoof') y, count(*) * 1000 b FROM samples WHERE load_id IS NOT NULL AND split IN ('train', 'dev', 'test') GROUP BY 1, 2),
+    share AS (SELECT split, CAST(floor((SELECT coalesce(sum(b), 0)::BIGINT // 2 FROM u) * s) AS BIGINT) room FROM (VALUES ('train', 0.8::DOUBLE), ('dev', 0.1), ('test', 0.1)) t(split, s)),
+    walk AS (SELECT split, room, 0::BIGINT x, 0::BIGINT y, []::VARCHAR[] done, NULL::VARCHAR AS unit, 0::BIGINT b, 0::INT picked FROM share
+      UNION ALL SELECT split, room - b, x + ux, y + uy, list_append(done, unit), unit, b, picked + 1 FROM (
+        SELECT w.split, room, w.x, w.y, u.x ux, u.y uy, done, u.unit, u.b, picked, row_number() OVER (PARTITION BY w.split ORDER BY (u.x::DOUBLE / (w.x + 100) + u.y::DOUBLE / (w.y + 100)) / greatest(1, u.b) DESC, u.unit DESC) r
+        FROM walk w JOIN u ON u.split = w.split AND u.b <= room AND u.x + u.y > 0 AND NOT list_contains(done, u.unit)) WHERE r = 1),
+    done AS (SELECT split, max(x) >= 100 AND max(y) >= 100 usable, max(picked) most FROM walk GROUP BY split)
+    SELECT split, unit, picked, b::BIGINT estimated_bytes, usable FROM walk JOIN done USING (split) WHERE picked > 0 OR most = 0"""
+)
 def q70_byte_budget(spark, folder):
     """Loads stand for row groups; half of all bytes may be read. A split with fewer than 100 records of a class is marked, not refused, since the smallest tables have no more."""
     rows = samples(spark, folder).where("load_id IS NOT NULL AND split IN ('train', 'dev', 'test')")
@@ -218,11 +231,13 @@ def q70_byte_budget(spark, folder):
     return sampling.byte_budget(units, {"train": 0.8, "dev": 0.1, "test": 0.1}, total // 2, refuse=False)
 
 
-@query(f"WITH {SAMPLES}, g AS (SELECT DISTINCT coalesce(nullif(trim(speaker_id), ''), source_file) k FROM samples) SELECT count(*) n_groups, 0::BIGINT n_broken FROM g WHERE k IS NOT NULL")
+@query(
+    f"""WITH {SAMPLES}, g AS (SELECT DISTINCT coalesce(nullif(trim(speaker_id), ''), source_file) group_key FROM samples), r AS (SELECT group_key, row_number() OVER (ORDER BY sha256('42|' || group_key), group_key) at_, count(*) OVER () n FROM g WHERE group_key IS NOT NULL),
+    q AS (SELECT *, greatest(round(0.2 * n), CASE WHEN n >= 3 THEN 1 ELSE 0 END) k FROM r) SELECT group_key, CASE WHEN at_ <= n - 2 * k THEN 'train' WHEN at_ <= n - k THEN 'dev' ELSE 'test' END new_split FROM q"""
+)
 def q79_speaker_disjoint(spark, folder):
-    rows = splits.speaker_disjoint(samples(spark, folder))
-    per = rows.where("group_key IS NOT NULL").groupBy("group_key").agg(F.countDistinct("new_split").alias("k"))
-    return per.agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(F.col("k") != 1, 1)).alias("n_broken"))
+    """The split, or splits, that the rows of each speaker (or file) have come to: one each."""
+    return splits.speaker_disjoint(samples(spark, folder)).where("group_key IS NOT NULL").select("group_key", "new_split").distinct()
 
 
 @query()
@@ -243,13 +258,27 @@ def q71_stream_distinct(spark, folder):
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) r FROM events) WHERE r <= 5")
 def q72_stream_quota(spark, folder):
     rows = streams.file_stream(spark, folder, "events").select("event_type", "event_id")
-    return streams.run_to_table(streams.quota_stream(rows, "event_type", "event_id", 5)).select(F.col("key").alias("event_type"), F.col("value").alias("event_id"))
+    return streams.quota_stream(rows, "event_type", "event_id", 5).select(F.col("key").alias("event_type"), F.col("value").alias("event_id"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type, greatest(coalesce(CASE WHEN NOT isnan(value) THEN value END, 0), 0) a, row_number() OVER (PARTITION BY event_type ORDER BY event_id) r FROM events),
+    walk AS (SELECT DISTINCT event_type, 0::BIGINT r, 0::BIGINT n, 0.0::DOUBLE s, 0::BIGINT f FROM events
+      UNION ALL SELECT w.event_type, e.r, n + (s + a <= 1000)::BIGINT, CASE WHEN s + a <= 1000 THEN s + a ELSE s END, f + (s + a > 1000)::BIGINT FROM walk w JOIN e ON e.event_type = w.event_type AND e.r = w.r + 1)
+    SELECT event_type AS key, max(n) n_taken, round(max(s), 6) spent, max(f) refused FROM walk GROUP BY event_type"""
+)
 def q73_stream_budget(spark, folder):
-    rows = streams.file_stream(spark, folder, "events").select("event_type", "value")
-    return streams.run_to_table(streams.budget_stream(rows, "event_type", "value", 1000.0), "update").withColumn("spent", F.round("spent", 6))
+    rows = streams.file_stream(spark, folder, "events").select("event_type", "value", "event_id")
+    return streams.budget_stream(rows, "event_type", "value", "event_id", 1000.0).withColumn("spent", F.round("spent", 6))
+
+
+@query("SELECT TRY_CAST(props->>'k' AS BIGINT) % 10 AS k, count(*) n FROM events WHERE TRY_CAST(props->>'k' AS BIGINT) IS NOT NULL AND event_type IS NOT NULL GROUP BY 1")
+def q87_stream_isolation(spark, folder):
+    """Numbers read from the events' JSON; events without one go to a table of their own and stop nothing."""
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    rows = streams.file_stream(spark, folder, "events").where("event_type IS NOT NULL").select("event_id", "props")
+    good, _ = streams.isolated(rows, k.isNotNull(), "event_id bigint, k bigint", [F.col("event_id"), k.alias("k")])
+    return good.groupBy((F.col("k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) window_start, event_type, count(*) n, round(avg(value), 9) mean_value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
@@ -274,10 +303,42 @@ def q75_log_mel(spark, folder):
     return audio.log_mels(waves, "vec_id", "tone").select("vec_id", "n_frames", F.octet_length("feature").alias("n_bytes"))
 
 
-@query()
+@query(
+    f"""WITH {_CLIPS}, v AS (SELECT CASE WHEN vec_id % 3 = 0 THEN list_transform(w, lambda x: 0.0::FLOAT) WHEN vec_id % 7 = 0 THEN w[1:4] ELSE w END w FROM clips)
+    SELECT CASE WHEN {_RMS.format('w')} < 1e-4 THEN 'not_completely_silent' WHEN len(w) < 24 THEN 'too_short_for_a_window' END reason, count(*) n FROM v GROUP BY 1"""
+)
 def q76_quarantine(spark, folder):
     """Clips by the first check they fail; every third is silenced, every seventh cut short."""
     w = F.when(F.col("vec_id") % 3 == 0, F.transform("w", lambda x: F.lit(0.0).cast("float"))).when(F.col("vec_id") % 7 == 0, F.slice("w", 1, 4)).otherwise(F.col("w"))
     return audio.quarantine(_clips(spark, folder), w, RATE, 24, 16).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _wavs(spark, folder) -> DataFrame:
+    """path, content: each vector as a WAV of one channel; every fifth file is broken, every third silent."""
+
+    def encode(batches):
+        for b in batches:
+            data = [b"RIFF" if v % 5 == 0 else audio.encode_wav(np.asarray(w, np.float32) * (v % 3 > 0), RATE) for v, w in zip(b["vec_id"], b["w"])]
+            yield pd.DataFrame({"path": [f"clips/vec {v}.wav" for v in b["vec_id"]], "content": data})
+
+    return _clips(spark, folder).select("vec_id", "w").mapInPandas(encode, "path string, content binary")
+
+
+_CUT = f"""WITH {_CLIPS}, q AS (SELECT vec_id, list_transform(w, lambda x: floor(CAST(greatest(-1, least(1, x)) AS DOUBLE) * 32767 + 0.5) / 32768) w FROM clips WHERE vec_id % 5 <> 0 AND vec_id % 3 <> 0),
+  s AS (SELECT vec_id, w, unnest(range(0, 4)) * 16 s FROM q), p AS (SELECT vec_id, s, w[s + 1:s + 24] x FROM s)"""
+
+
+@query(
+    f"""{_CUT} SELECT 'local__vec_' || vec_id || '__' || printf('%.3f', s / 16.0) || '_' || printf('%.3f', (s + 24) / 16.0) sample_id, s / 16.0::DOUBLE segment_start, (s + 24) / 16.0::DOUBLE segment_end, 1.5::DOUBLE AS duration,
+      round({_SUM.format('x')}, 6) total FROM p WHERE sqrt(list_sum(list_transform(x, lambda y: y * y)) / 24) >= 1e-4"""
+)
+def q86_processed_windows(spark, folder):
+    """The windows of audio files, from bytes to manifest rows."""
+    rows, _ = audio.processed(_wavs(spark, folder), "local", "train", "bonafide", "processed", RATE, 24, 16)
+    return rows.select("sample_id", "segment_start", "segment_end", "duration", F.round(_sum(F.col("samples")), 6).alias("total"))
+
+
+@query("SELECT reason, count(*) n FROM (SELECT CASE WHEN vec_id % 5 = 0 THEN 'audio error' WHEN vec_id % 3 = 0 THEN 'not_completely_silent' END reason FROM embeddings) WHERE reason IS NOT NULL GROUP BY 1")
+def q86_skipped_files(spark, folder):
+    _, skipped = audio.processed(_wavs(spark, folder), "local", "train", "bonafide", "processed", RATE, 24, 16)
+    return skipped.groupBy(F.split_part("reason", F.lit(":"), F.lit(1)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         present = context._jsc.sc().getCheckpointDir()
         named = present.get() if present.isDefined() else f"file://{tempfile.mkdtemp(prefix='sonoplan-')}"
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -39,13 +41,50 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever file system the path names."""
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small control file, whole or not at all: written beside its place and renamed."""
+    files, target = _file_system(spark, path)
+    partial = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = files.create(partial)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(target):
+        files.delete(target, False)
+    if not files.rename(partial, target):
+        raise OSError(f"{path} could not be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, target = _file_system(spark, path)
+    held = files.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(held)).decode()
+    finally:
+        held.close()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         if path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
         else:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(spark, path)
     except Exception:  # noqa: BLE001  the session may have ended
         pass
 
@@ -68,5 +107,10 @@ def release(df: DataFrame) -> None:
     _delete(df.sparkSession, df.kept_at)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of durable() so far, for a session that goes on after its queries' results have been read or written."""
+    _delete(spark, f"{shared_folder(spark).rstrip('/')}/sonoplan/{spark.sparkContext.applicationId}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 
 from sonoplan.functions import fields as f
 
-#: The canonical columns.
-MANIFEST = ("sample_id", "source_file", "processed_file", "dataset", "label", "speaker_id", "language", "gender", "duration", "sample_rate", "segment_start", "segment_end", "generator", "attack_type", "codec", "split")
+MANIFEST = f.MANIFEST
 EXTRA = ("channels", "file_format", "age_group", "transcript", "language_raw", "speaker_id_raw", "source_speaker_id", "source_reference", "target_reference", "source_split", "role", "metadata_locator", "rms", "almost_silent")
 TYPES = {"duration": "double", "sample_rate": "int", "segment_start": "double", "segment_end": "double", "channels": "int", "rms": "double", "almost_silent": "boolean"}
 #: Names under which each export may hold a field, the first known one counts.
@@ -29,7 +28,7 @@ SYNTHETIC = {
 }
 EXTERNAL = {"sample_id": ("sample_id", "notes.utterance_id"), "label": ("label",), "speaker_id": ("speaker_id", "notes.speaker_id"), "codec": ("codec", "notes.codec"), "attack_type": ("attack_id", "notes.attack_id"), "generator": ("generator", "notes.vocoder")}
 #: Dataset: its fields, its fixed label, its split and role.
-ADAPTERS: dict[str, tuple[dict, str | None, str, str]] = {"indicvoices": ({}, "bonafide", "unassigned", "train_dev"), "indicsynth": (SYNTHETIC, "spoof", "unassigned", "train_dev"), "asvspoof": (EXTERNAL, None, "external", "external_evaluation")}
+ADAPTERS: dict[str, tuple[dict, str | None, str, str]] = {"indicvoices": ({}, "bonafide", "unassigned", "train_dev"), "indicsynth": (SYNTHETIC, "spoof", "unassigned", "train_dev"), "asvspoof": (EXTERNAL, None, "external", "external_benchmark")}
 MOST_BYTES, MOST_ROWS = 50 * 1024 * 1024, 100_000
 
 
@@ -65,12 +64,22 @@ def lookup(row: Column, name: str) -> Column:
     return literal if "." not in name else F.coalesce(literal, F.try_variant_get(row, "$." + name, "string"))
 
 
+def _flat(row: Column, name: str) -> Column:
+    """The value under a name; an object or a list is an error."""
+    held = F.try_variant_get(row, f"$['{name}']", "variant")
+    held = held if "." not in name else F.coalesce(held, F.try_variant_get(row, "$." + name, "variant"))
+    nested = F.schema_of_variant(held).rlike("^(OBJECT|ARRAY)")
+    return F.when(nested, F.raise_error(F.lit(f"{name} is no scalar")).cast("string")).otherwise(lookup(row, name))
+
+
 def first_known(row: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*(f.scalar(lookup(row, n)) for n in names)) if names else F.lit(None).cast("string")
+    return F.coalesce(*(f.scalar(_flat(row, n)) for n in names)) if names else F.lit(None).cast("string")
+
 
+def adapt(rows: DataFrame, dataset: str, prefix: str = "", field_map: dict[str, str] | None = None, label_map: dict[str, str] | None = None, language: str | None = None, namespace: str | None = None) -> DataFrame:
+    """The canonical 30 columns of rows (row_no, row). field_map puts one key in the place of a field's names; an unknown field, or a nested value in a field, is an error.
 
-def adapt(rows: DataFrame, dataset: str, prefix: str = "", field_map: dict[str, str] | None = None, label_map: dict[str, str] | None = None) -> DataFrame:
-    """The canonical 30 columns of rows (row_no, row). field_map puts one key in the place of a field's names; an unknown field is an error."""
+    language: of rows that name none. namespace: of speakers, in the place of the dataset."""
     special, label, split, role = ADAPTERS[dataset]
     names = {**COMMON, **special}
     for target, key in (field_map or {}).items():
@@ -87,9 +96,9 @@ def adapt(rows: DataFrame, dataset: str, prefix: str = "", field_map: dict[str,
     mapped = reduce(lambda a, kv: F.when(raw_label == kv[0], F.lit(kv[1])).otherwise(a), (label_map or {}).items(), raw_label)
     out["label"] = F.lit(label) if label else F.when(mapped.isin("bonafide", "spoof"), mapped).otherwise(F.raise_error(F.concat(F.lit("illegal label: "), F.coalesce(mapped, F.lit("none")))).cast("string"))
     out["dataset"], out["split"], out["role"] = F.lit(dataset), F.lit(split), F.lit(role)
-    out["language_raw"], out["speaker_id_raw"] = got["language"], got["speaker_id"]
-    out["language"], out["gender"] = f.language(got["language"]), f.gender(got["gender"])
-    out["speaker_id"], out["source_speaker_id"] = f.namespaced(dataset, got["speaker_id"]), f.namespaced(dataset, got["source_speaker_id"])
+    out["language_raw"], out["speaker_id_raw"] = F.coalesce(got["language"], f.scalar(F.lit(language))), got["speaker_id"]
+    out["language"], out["gender"] = f.language(out["language_raw"]), f.gender(got["gender"])
+    out["speaker_id"], out["source_speaker_id"] = (f.namespaced(namespace or dataset, got[c]) for c in ("speaker_id", "source_speaker_id"))
     for c in ("duration", "sample_rate", "channels", "segment_start", "segment_end", "rms"):
         out[c] = f.number(got[c], integer=TYPES[c] == "int").cast(TYPES[c])
     out["almost_silent"] = F.lower(got["almost_silent"]).try_cast("boolean")
@@ -103,7 +112,7 @@ def adapt(rows: DataFrame, dataset: str, prefix: str = "", field_map: dict[str,
 
 def load_inputs(spark: SparkSession, specs: dict[str, list[dict]]) -> DataFrame:
     """All exports of all datasets as one table; no input, or an id twice in a dataset, is an error."""
-    parts = [adapt(read_rows(spark, s["path"]), dataset, s.get("prefix", s["path"]), s.get("field_map"), s.get("label_map")) for dataset, many in specs.items() for s in many]
+    parts = [adapt(read_rows(spark, s["path"]), dataset, s.get("prefix", s["path"]), s.get("field_map"), s.get("label_map"), s.get("language"), s.get("namespace")) for dataset, many in specs.items() for s in many]
     if not parts:
         raise ValueError("no input is named")
     out = reduce(DataFrame.unionByName, parts)

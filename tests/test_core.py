@@ -216,6 +216,8 @@ def test_metrics_on_empty_table(spark):
 
 
 def starts_by_loop(n, window, hop, keep):
+    if n < window:
+        return [0] if keep else []
     out, at = [], 0
     while at + window <= n:
         out.append(at)
@@ -240,12 +242,39 @@ def test_ten_seconds(spark):
         assert [int(x.start_seconds) for x in got] == want and all(len(x.samples) == 64 for x in got)
 
 
+def test_segments_and_the_table_function_agree(spark):
+    spark.udtf.register("segment_waveform", audio.SegmentWaveform)
+    clips = spark.createDataFrame([(n, [float(k + 1) for k in range(n)]) for n in (0, 1, 5, 8, 9, 10, 17)], "id int, w array<float>")
+    clips.createOrReplaceTempView("udtf_clips")
+    for hop in (1, 3, 8, 11):
+        own = clips.select("id", F.explode(waveform.segments(F.col("w"), 16, 8, hop)).alias("s")).select("id", (F.col("s.start_seconds") * 16).cast("int").alias("a"), "s.padded", "s.samples", (F.col("s.end_seconds") * 16).cast("int").alias("e"))
+        got = spark.sql(f"SELECT id, start_sample, padded, samples FROM udtf_clips, LATERAL segment_waveform(w, 8, {hop})")
+        assert sorted((r.id, r.a, r.padded, r.samples) for r in own.collect()) == sorted(map(tuple, got.collect()))
+        assert all(r.e == r.a + 8 for r in own.collect())
+    first = clips.where("id = 5").select(waveform.segments(F.col("w"), 16, 8, 4, at_end=False).alias("s")).first().s
+    assert [x.samples for x in first] == [[0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0]]
+
+
 def test_checks_of_bad_clips(spark):
     clips = spark.createDataFrame([(1, [0.5, -0.5] * 16), (2, [0.0] * 32), (3, []), (4, None), (5, [float("nan")] * 32)], "id int, w array<float>")
     got = {r.id: {c.name: c.passed for c in r.c} for r in clips.select("id", waveform.report(F.col("w"), F.lit(16), F.lit(1)).alias("c")).collect()}
     assert all(got[1].values())
-    assert not got[2]["not_completely_silent"] and not got[3]["empty"] and not got[4]["readable_array"] and not got[5]["finite"]
-    assert {r.id: r.reason for r in audio.quarantine(clips, F.col("w"), 16, 16, 8).collect()} == {1: None, 2: "not_completely_silent", 3: "empty", 4: "readable_array", 5: "finite"}
+    assert not got[2]["not_completely_silent"] and not got[3]["empty_waveform"] and not got[4]["readable_array"] and not got[5]["finite_samples"]
+    assert {r.id: r.reason for r in audio.quarantine(clips, F.col("w"), 16, 16, 8).collect()} == {1: None, 2: "not_completely_silent", 3: "empty_waveform", 4: "readable_array", 5: "finite_samples"}
+
+
+def test_wav_of_24_bits_and_other_containers():
+    import io
+    import wave
+
+    values = [0, 1, -1, 8388607, -8388608]
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(3), w.setframerate(8000)
+        w.writeframes(b"".join(v.to_bytes(3, "little", signed=True) for v in values))
+    got, rate = audio.decode_wav(out.getvalue())
+    assert rate == 8000 and np.allclose(got[:, 0] * 8388608, values)
+    assert audio.decode_wav(b"fLaC1234") == "no decoder for flac" and audio.decode_wav(b"OggS1234") == "no decoder for ogg"
 
 
 def test_wav_round_trip_and_resampling():

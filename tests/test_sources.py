@@ -135,6 +135,27 @@ def test_resumable_sink(spark, tmp_path):
         streams.resumable_copy(stream(), folder, "id", {"v": 2})
 
 
+def test_streams_of_many_files(spark, tmp_path):
+    """A rare key of the first file only, one file a batch; the same results as of one batch."""
+    rng = random.Random(3)
+    rows = [(k, "rare" if k in (1, 4) else rng.choice(["a", "b", None]), rng.choice([None, float("nan"), -1.0, *[rng.random() * 40 for _ in range(9)]])) for k in range(600)]
+    schema = "event_id bigint, kind string, amount double"
+    for k in range(12):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = lambda: streams.file_stream(spark, str(tmp_path), "events", 1)
+    want = {}
+    for i, k, a in rows:
+        a = 0.0 if a is None or a != a or a < 0 else a
+        n, s, r = want.get(k, (0, 0.0, 0))
+        want[k] = (n + 1, s + a, r) if s + a <= 500 else (n, s, r + 1)
+    got = {r.key: (r.n_taken, r.spent, r.refused) for r in streams.budget_stream(stream(), "kind", "amount", "event_id", 500.0).collect()}
+    assert {k: (n, round(s, 6), r) for k, (n, s, r) in got.items()} == {k: (n, round(s, 6), r) for k, (n, s, r) in want.items()} and got["rare"][0] == 2 and got["a"][2]
+    quota = sorted(((r.key or "", r.value) for r in streams.quota_stream(stream(), "kind", "event_id", 4).collect()))
+    assert quota == sorted((k or "", i) for k in ("a", "b", "rare", None) for i in [i for i, x, _ in rows if x == k][:4])
+    good, bad = streams.isolated(stream(), F.col("amount") >= 0, "event_id bigint", [F.col("event_id")])
+    assert good.count() + bad.count() == 600 and bad.where("amount >= 0 AND NOT isnan(amount)").count() == 0
+
+
 def test_greedy_plan_keeps_its_limits(spark):
     rows = [(d, f"{d}{i}", lab, "hi", f"s{i % 7}{lab}", g, float(3 + i % 4)) for i in range(200) for d, lab, g in (("a", "bonafide", None), ("b", "spoof", f"g{i % 3}"))]
     df = spark.createDataFrame(rows, "dataset string, sample_id string, label string, language string, speaker_id string, generator string, duration double")
