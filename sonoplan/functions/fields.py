@@ -109,12 +109,36 @@ _LETTERS = {c: x for c, x in _FOLDED.items() if len(x) == 1}
 _LONG = {c: x for c, x in _FOLDED.items() if len(x) > 1}
 
 
+def spaced(c: Column) -> Column:
+    """Single spaces for white space of any kind and length, none at the ends."""
+    return F.btrim(F.regexp_replace(c, _SPACES, " "))
+
+
+def row_id(source: Column, revision: Column, path: Column, index: Column) -> Column:
+    """Digest of where a row stands: source, revision, path and number."""
+    return F.sha2(F.concat_ws(":", source, revision, path, index.cast("string")), 256)
+
+
+#: The splits' names in a source, and ours.
+SOURCE_SPLITS = {"train": "train", "validation": "validation", "evaluation": "test"}
+
+
+def encoded_label(c: Column) -> Column:
+    """1 for spoof, 0 for bonafide; another label fails the query, a null one stays null."""
+    return F.when(c == "spoof", 1).when(c == "bonafide", 0).when(c.isNotNull(), F.raise_error(F.concat(F.lit("illegal label: "), c)).cast("int"))
+
+
+def renamed_split(c: Column) -> Column:
+    """Our name of a source's split, null for others."""
+    return reduce(lambda out, kv: out.when(c == kv[0], kv[1]), list(SOURCE_SPLITS.items())[1:], F.when(c == next(iter(SOURCE_SPLITS)), next(iter(SOURCE_SPLITS.values()))))
+
+
 def text_key(c: Column) -> Column:
     """Digest of the case-folded text (sharp s as ss) with single spaces; null for null and blank texts."""
     low = F.translate(F.lower(c), "".join(_LETTERS), "".join(_LETTERS.values()))
     # few texts have such letters
     folded = F.when(low.rlike(f"[{''.join(_LONG)}]"), reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), _LONG.items(), low)).otherwise(low)
-    flat = F.btrim(F.regexp_replace(folded, _SPACES, " "))
+    flat = spaced(folded)
     return F.when(flat != "", F.sha2(flat, 256))
 
 

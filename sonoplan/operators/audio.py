@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoplan.functions.fields import MANIFEST, window_id
+from sonoplan.functions.fields import MANIFEST, verdict, window_id
 from sonoplan.operators import waveform
 from sonoplan.session import durable
 
@@ -210,6 +210,24 @@ class SegmentWaveform:
 WAVE = T.ArrayType(T.FloatType())
 
 
+def score_clips(df: DataFrame, key: str, samples: str, factory: Callable[[], Callable[[np.ndarray], float]], threshold: float = 0.5) -> DataFrame:
+    """key, synthetic_score, verdict of each clip by a detector: factory() is called once a task and gives a function of the samples. A null clip has a null score."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        detect = factory()
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "synthetic_score": pd.array([None if x is None else float(detect(np.asarray(x))) for x in b["x"]], "Float64")})
+
+    found = df.select(F.col(key).alias("key"), F.col(samples).alias("x")).mapInPandas(run, f"key {kind}, synthetic_score double")
+    return found.select(F.col("key").alias(key), "synthetic_score", verdict(F.col("synthetic_score"), threshold).alias("verdict"))
+
+
+def feature_reason(w: Column, length: int, rate: Column, expected_rate: int) -> Column:
+    """What is wrong with a stored feature or decoded clip: missing, shape, not_finite, rate, in this order; null where nothing is."""
+    return F.when(w.isNull(), "missing").when(F.size(w) != length, "shape").when(~waveform.finite(w), "not_finite").when(rate.isNull() | (rate != expected_rate), "rate")
+
+
 def window_features(clips: DataFrame, window: int = 4 * RATE, most: int = 120 * RATE) -> DataFrame:
     """path, place, n_frames, feature, sha of each consecutive window of each decoded clip; clips with an error give none."""
     good = clips.where("audio_error IS NULL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonoplan.session import durable
+
 EXACT = "decimal(20,6)"
 
 
@@ -48,6 +50,30 @@ def numeric_stats(df: DataFrame, column: str, by: list[str] | None = None) -> Da
     )
 
 
+def summary(df: DataFrame, categories: list[str], refuse: bool = True) -> DataFrame:
+    """section, name, value of a whole table: rows, source files, speakers; statistics of durations and hours; frequencies of each category, `missing` beside them.
+
+    A negative duration is an error unless refuse is False. A category that isn't there is missing everywhere; an empty table gives counts of 0."""
+    df = durable(df.select("source_file", "speaker_id", "duration", *(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in categories if c not in ("source_file", "speaker_id", "duration"))))
+    if refuse and not df.where("duration < 0").isEmpty():
+        raise ValueError("negative duration")
+    stats = numeric_stats(df, "duration").withColumn("total_hours", F.col("total") / 3600)
+    counts = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count("source_file").alias("known_source_files"), F.countDistinct("speaker_id").alias("unique_speakers"), F.count(F.when(F.col("speaker_id").isNull(), 1)).alias("missing_speaker_rows"))
+    long = lambda d, section: d.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in d.columns))).alias("x")).select(F.lit(section).alias("section"), "x.*")
+    each = frequencies(df, categories).select(F.concat(F.lit("distribution:"), "field").alias("section"), F.coalesce("value", F.lit("missing")).alias("name"), F.col("n").cast("double").alias("value"))
+    return long(counts, "rows").unionByName(long(stats, "duration")).unionByName(each)
+
+
+def histogram(df: DataFrame, column: str, by: str, bins: int = 20) -> DataFrame:
+    """by, bin, low, high, n: counts in equal bins that all groups share, from the least to the greatest known value; the last bin holds its upper end. Empty bins give no row."""
+    x = F.when(~F.isnan(column), F.col(column).cast("double"))
+    ends = df.agg(F.min(x), F.max(x)).first()
+    low, high = ends if ends[0] is not None else (0.0, 0.0)
+    width = (high - low) / bins or 1.0
+    place = F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int")
+    return df.where(x.isNotNull()).groupBy(by, place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(by, "bin", (F.lit(low) + F.col("bin") * width).alias("low"), (F.lit(low) + (F.col("bin") + 1) * width).alias("high"), "n")
+
+
 def frequencies(df: DataFrame, fields: list[str]) -> DataFrame:
     """field, value, n of each value of each field, null values included."""
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields)))

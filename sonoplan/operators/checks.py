@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
@@ -50,6 +51,36 @@ def split_overlap(df: DataFrame, fields: list[str], split: str = "split") -> Dat
     return per.groupBy("field").agg(F.count(F.when(F.col("crosses"), 1)).alias("n_values"))
 
 
+def require_disjoint(df: DataFrame, fields: list[str], split: str = "split") -> None:
+    """Refuses rows of which an identity stands in more than one split."""
+    crossing = {r["field"]: r["n_values"] for r in split_overlap(df, fields, split).where("n_values > 0").collect()}
+    if crossing:
+        raise ValueError(f"identities in several splits: {crossing}")
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What a run asks of its partitions; a run on another corpus overrides what differs (dataclasses.replace)."""
+
+    splits: tuple[str, ...] = ("train", "validation", "test")
+    identities: tuple[str, ...] = ("id", "audio_sha256", "speaker")
+    counts: tuple[tuple[str, int], ...] = ()
+    minimum: int = 1
+    notice: str = ""
+
+    def check(self, df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
+        """split, label, n of the partitions, after all that the profile asks has been found true."""
+        out = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
+        held = {(r[split], r[label]): r["n"] for r in out.collect()}
+        if {s for s, _ in held} - set(self.splits):
+            raise ValueError(f"unknown splits: {sorted(map(str, {s for s, _ in held} - set(self.splits)))}")
+        totals = {s: sum(n for (x, _), n in held.items() if x == s) for s in self.splits}
+        if any(totals[s] != n for s, n in self.counts) or any(min((n for (x, _), n in held.items() if x == s), default=0) < self.minimum for s in self.splits):
+            raise ValueError(f"counts differ from the profile: {held}")
+        require_disjoint(df, [c for c in self.identities if c in df.columns], split)
+        return out
+
+
 def cell_counts(df: DataFrame, dims: list[str], levels: dict[str, list[str]], minimum: int, distinct: str) -> DataFrame:
     """All combinations of the levels with rows, distinct keys and whether they have enough; absent cells count 0."""
     spark = df.sparkSession

@@ -116,6 +116,35 @@ def attacks_against_humans(df: DataFrame, attack: str) -> DataFrame:
     return met.groupBy(attack).agg(n.alias("n"), hits.alias("detected"), (hits / n).alias("recall"), (F.sum(F.col("score") * F.col("pos")) / n).alias("mean_score"), auc.alias("roc_auc"))
 
 
+def human_errors(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """n_humans, false_positive_rate, mean_score of the genuine rows."""
+    mine = df.where("label = 0 AND score IS NOT NULL")
+    return mine.agg(F.count(F.lit(1)).alias("n_humans"), F.avg((F.col("score") >= threshold).cast("double")).alias("false_positive_rate"), F.avg("score").alias("mean_score"))
+
+
+def scored(rows: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """rows with the score of their id. A row without a score, a score without a row, or an id scored twice is an error: nothing is matched by place."""
+    once = predictions.groupBy(key).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("__k"))
+    both = rows.withColumn("__here", F.lit(True)).join(once, key, "full")
+    fine = F.col("__here").isNotNull() & F.col("__k").isNotNull() & (F.col("__k") == 1)
+    wrong = F.raise_error(F.concat(F.lit("no single score and row for "), F.col(key).cast("string"))).cast("double")
+    return both.withColumn("score", F.when(fine, F.col("score")).otherwise(wrong)).drop("__here", "__k")
+
+
+def against_saved(found: DataFrame, saved: dict[str, float | None]) -> DataFrame:
+    """metric, saved, found, agrees of one row of metrics: a saved value that is close to the recomputed one, or missing on either side, agrees."""
+    spark = found.sparkSession
+    table = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in saved.items()], "metric string, saved double")
+    here = [c for c in saved if c in found.columns]
+    flat = found.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("found")) for c in here))).alias("x")).select("x.*")
+    return table.join(flat, "metric", "left").withColumn("agrees", F.coalesce(close_enough(F.col("saved"), F.col("found")), F.lit(True)))
+
+
+def best_epoch(history: DataFrame) -> DataFrame:
+    """The row of the least dev_loss, the first epoch among equals; none of an empty history."""
+    return history.where("dev_loss IS NOT NULL AND NOT isnan(dev_loss)").agg(F.min_by(F.struct(*(F.col(c) for c in history.columns)), F.struct("dev_loss", "epoch")).alias("x")).where("x IS NOT NULL").select("x.*")
+
+
 def pooled(df: DataFrame, key: str, vector: str) -> DataFrame:
     """key, place, value: mean over a recording's rows at each place of the vector; rows without a vector don't count."""
     flat = df.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("place", "x"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 from dataclasses import dataclass
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,13 +28,33 @@ def quota(df: DataFrame, by: list[str], key: str, k: int | Column, seed: str) ->
     return inner.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy("__h", key))).where(F.col("__r") <= limit).drop("__h", "__s", "__r")
 
 
-def balanced(df: DataFrame, split: str, cell: list[str], key: str, cap: int, seed: str) -> DataFrame:
-    """As many rows of each cell of a split as its smallest cell has, at most cap."""
+def balanced(df: DataFrame, split: str, cell: list[str], key: str, cap: int, seed: str, minimum: int = 0) -> DataFrame:
+    """As many rows of each cell of a split as its smallest cell has, at most cap; fewer than `minimum` are an error."""
     cells = df.groupBy(split, *cell).agg(F.count(F.lit(1)).alias("__n"))
+    if minimum and not cells.where(F.col("__n") < minimum).isEmpty():
+        raise ValueError(f"a cell has fewer than {minimum} rows")
     least = cells.groupBy(split).agg(F.least(F.min("__n"), F.lit(cap)).alias("__k"))
     return quota(df.join(F.broadcast(least), split), [split, *cell], key, F.col("__k"), seed).drop("__k")
 
 
+def attack_sample(df: DataFrame, attack: str, key: str, n: int, seed: str) -> DataFrame:
+    """n rows of each attack and as many genuine rows (label 0) as of all attacks together, in hash order. Fewer than that of any is an error."""
+    spoof = df.where((F.col("label") == 1) & F.col(attack).isNotNull())
+    held = {r[attack]: r["k"] for r in spoof.groupBy(attack).agg(F.count(F.lit(1)).alias("k")).collect()}
+    humans = df.where("label = 0")
+    if not held or min(held.values()) < n or humans.limit(n * len(held)).count() < n * len(held):
+        raise ValueError(f"fewer than {n} rows of an attack, or than {n * len(held)} genuine ones: {held}")
+    return quota(spoof, [attack], key, n, seed).unionByName(quota(humans.withColumn("__all", F.lit(1)), ["__all"], key, n * len(held), seed).drop("__all"))
+
+
+def class_seconds(total_hours: float | None = None, per_class: dict[str, float] | None = None) -> dict[str, float]:
+    """Seconds wanted of each class: an equal part of the total where one is named, else each class's own hours."""
+    hours = {k: total_hours / 2 for k in ("bonafide", "spoof")} if total_hours is not None else dict(per_class or {"bonafide": 1.0, "spoof": 1.0})
+    if set(hours) != {"bonafide", "spoof"} or any(not isfinite(h) or h <= 0 for h in hours.values()):
+        raise ValueError("finite, positive hours of exactly bonafide and spoof are needed")
+    return {k: h * 3600 for k, h in hours.items()}
+
+
 def inverse_weights(df: DataFrame, by: str) -> DataFrame:
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(by, "n", (F.lit(1.0) / F.col("n")).alias("weight"))
@@ -69,6 +90,14 @@ class Budget:
     tolerance: float = 0.05
     seed: str = "42"
 
+    def __post_init__(self) -> None:
+        if any(not isfinite(s) or s <= 0 for s in self.seconds.values()):
+            raise ValueError("seconds must be finite and positive")
+        if any(isinstance(x, bool) or not isinstance(x, int) or x < least for x, least in ((self.clips_per_speaker, 0), (self.speakers, 1), (self.speakers_per_cell, 1))):
+            raise ValueError("limits must be whole numbers")
+        if not 0 < self.generator_share <= 1 or not 0 <= self.tolerance < 1:
+            raise ValueError("a generator's share lies in 0 to 1, the tolerance below 1")
+
 
 def _choose(rows: pd.DataFrame, cells: dict[tuple[str, str], float], budget: Budget) -> tuple[pd.DataFrame, int]:
     """Greedy whole-clip choice over all cells, and the most chosen speakers that one (label, language, generator) has rows of.
@@ -220,6 +249,12 @@ def plan_report(chosen: DataFrame, cells: list[tuple[str, str]], budget: Budget)
     return both.withColumn("shortfall_seconds", F.greatest(F.lit(0.0), F.col("target_seconds") - F.col("selected_seconds"))).withColumn("problem", F.when(short, "underfilled").when(F.col("speakers") < budget.speakers_per_cell, "too few speakers"))
 
 
+def class_gap(report: DataFrame) -> DataFrame:
+    """n_underfilled, gap_seconds of a plan's report: cells that miss their target, and by how much the classes' seconds differ."""
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("label") == k, F.col("selected_seconds"))), F.lit(0.0))
+    return report.agg(F.count(F.when(F.col("problem").isNotNull(), 1)).alias("n_underfilled"), F.abs(of("bonafide") - of("spoof")).alias("gap_seconds"))
+
+
 def byte_budget(units: DataFrame, shares: dict[str, float], budget: int, minimum: int = 100, refuse: bool = True) -> DataFrame:
     """split, unit, picked, estimated_bytes, usable: units of each split by coverage of the classes per byte, as long as the split's bytes last.
 

@@ -79,6 +79,26 @@ def component_split(df: DataFrame, node: str, shared: list[str], seed: str, trai
 
 
 
+def partition(df: DataFrame, key: str, label: str, original: str, window: str, shared: list[str], seed: str = "42", minimum: int = 100) -> DataFrame:
+    """key, label, root, new_split (train, validation, test by 80/10/10): recordings of one original, window or shared value keep together, and of identical windows only the first by key stays.
+
+    A repeated or null key, a label other than 0 and 1, one window with both labels, or fewer than `minimum` rows of a class in a split are errors.
+    Rows without an original are one by themselves; null windows and shared values relate nothing."""
+    rows = df.select(key, label, F.coalesce(F.col(original), F.concat(F.lit("row "), F.col(key).cast("string"))).alias("__o"), window, *shared)
+    if not rows.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where(F.col(key).isNull() | (F.col("k") > 1)).isEmpty() or not rows.where(F.col(label).isNull() | ~F.col(label).isin(0, 1)).isEmpty():
+        raise ValueError("a repeated identity or an illegal class")
+    if not rows.where(F.col(window).isNotNull()).groupBy(window).agg((F.min(label) != F.max(label)).alias("c")).where("c").isEmpty():
+        raise ValueError("an identical window has both labels")
+    roots = component_split(rows, "__o", [window, *shared], seed, 80, 90)
+    named = F.when(F.col("new_split") == "dev", "validation").otherwise(F.col("new_split")).alias("new_split")
+    out = durable(first_wins(rows, window, F.lit(0), key).join(roots, F.col("__o") == F.col("node")).select(key, label, "root", named))
+    counts = {(r["new_split"], r[label]): r["n"] for r in out.groupBy("new_split", label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = [s for s in ("train", "validation", "test") if min(counts.get((s, k), 0) for k in (0, 1)) < minimum]
+    if short:
+        raise ValueError(f"{short} lack {minimum} rows of each class: {counts}")
+    return out
+
+
 def first_wins_all(df: DataFrame, key: str, keys: list[str], priority: Column) -> DataFrame:
     """df's rows that a walk in the order of (priority, key) keeps when it drops each row one of whose keys a kept row has. key is unique; null keys match nothing.
 

@@ -192,20 +192,27 @@ def q17_column_preview(spark, folder):
 # audit ---------------------------------------------------------------------------------------------------------------
 
 _RATED = ["duration", "sample_rate", "codec", "language", "gender", "speaker_id"]
-_RATES = " UNION ALL ".join(f"SELECT '{c}' column_name, label, count(*) FILTER ({c} IS NULL) / count(*) rate FROM samples WHERE label IN ('bonafide', 'spoof') GROUP BY label" for c in _RATED)
-_RATES += " UNION ALL SELECT 'generator', label, count(*) FILTER (generator IS NULL) / count(*) FROM samples WHERE label = 'spoof' GROUP BY label"
+
+
+def _rates_sql(columns: list[str]) -> str:
+    rates = [f"SELECT '{c}' column_name, label, count(*) FILTER ({c} IS NULL) / count(*) rate FROM samples WHERE label IN ('bonafide', 'spoof') GROUP BY label" for c in columns]
+    return " UNION ALL ".join([*rates, "SELECT 'generator', label, count(*) FILTER (generator IS NULL) / count(*) FROM samples WHERE label = 'spoof' GROUP BY label"])
+
+
+_RATES = _rates_sql(_RATED) + " UNION ALL SELECT 'channels', label, 1.0::DOUBLE FROM (SELECT DISTINCT label FROM samples WHERE label IN ('bonafide', 'spoof'))"
 
 
 @query(f"WITH {SAMPLES} SELECT column_name, label, round(rate, 9) rate FROM ({_RATES})")
 def q18_missing_rates(spark, folder):
-    return _round(audit.missing_rates(samples(spark, folder), _RATED, {"generator": "spoof"}), "rate")
+    """Channels aren't stored, so that all of them are missing."""
+    return _round(audit.missing_rates(samples(spark, folder), [*_RATED, "channels"], {"generator": "spoof"}), "rate")
 
 
 _SHAPE = ["sample_rate", "codec", "language", "gender"]
 
 
-def _distance_sql(weight: str) -> str:
-    flat = " UNION ALL ".join(f"SELECT '{c}' column_name, {c}::VARCHAR AS value, label, CAST({weight} AS DECIMAL(20,6)) w FROM samples WHERE {c} IS NOT NULL AND {weight} IS NOT NULL AND label IN ('bonafide', 'spoof')" for c in _SHAPE)
+def _distance_sql(weight: str, columns: list[str] = _SHAPE) -> str:
+    flat = " UNION ALL ".join(f"SELECT '{c}' column_name, {c}::VARCHAR AS value, label, CAST({weight} AS DECIMAL(20,6)) w FROM samples WHERE {c} IS NOT NULL AND {weight} IS NOT NULL AND label IN ('bonafide', 'spoof')" for c in columns)
     return f"""SELECT column_name, sum(abs(a / ta - b / tb)) / 2 distance FROM (
       SELECT *, sum(a) OVER (PARTITION BY column_name) ta, sum(b) OVER (PARTITION BY column_name) tb FROM (
         SELECT column_name, value, coalesce(sum(w) FILTER (label = 'bonafide'), 0)::DOUBLE a, coalesce(sum(w) FILTER (label = 'spoof'), 0)::DOUBLE b FROM ({flat}) GROUP BY 1, 2)) GROUP BY column_name"""
@@ -262,22 +269,31 @@ _T = audit.Thresholds()
 _CLASS = "label IN ('bonafide', 'spoof')"
 
 
+#: The manifest with a file format and a made-up loudness.
+_AUDITED = SAMPLES.replace("samples AS", "stored AS", 1) + f""", samples AS (SELECT *, nullif(lower(regexp_extract({_STEP.replace('replace(p,', 'replace(source_file,')}, '[^.]\\.([^.]+)$', 1)), '') file_format,
+  ({bucket_sql('rms', 'sample_id', 1000)} + CASE WHEN label = 'spoof' THEN 500 ELSE 0 END) / 10000.0::DOUBLE rms FROM stored)"""
+_FULL_RATED, _FULL_SHAPE = [c for c in audit.RATED], [c for c in audit.SHAPE if c != "channels"]
+
+
 @query(
-    f"WITH {SAMPLES}, m AS ({_MEANS}) "
+    f"WITH {_AUDITED}, m AS ({_MEANS}) "
     + " UNION ALL ".join(
         [
-            _banded("'missing_' || column_name", "v", _T.missing, f"SELECT column_name, max(rate) v FROM ({_RATES}) GROUP BY 1"),
-            _banded("column_name", "v", _T.categorical, f"SELECT column_name, max(distance) v FROM (({_distance_sql('1')}) UNION ALL ({_distance_sql('duration')})) GROUP BY 1"),
+            _banded("'missing_' || column_name", "v", _T.missing, f"SELECT column_name, max(rate) v FROM ({_rates_sql(_FULL_RATED)}) GROUP BY 1"),
+            _banded("column_name", "v", _T.categorical, f"SELECT column_name, max(distance) v FROM (({_distance_sql('1', _FULL_SHAPE)}) UNION ALL ({_distance_sql('duration', _FULL_SHAPE)})) GROUP BY 1"),
             _banded("'one_class_language'", "v", _T.categorical, f"SELECT 1.0::DOUBLE v FROM (SELECT language FROM samples WHERE language IS NOT NULL AND {_CLASS} GROUP BY language HAVING count(DISTINCT label) = 1) HAVING count(*) > 0"),
             _banded("'duration'", "v", _T.duration_ratio, f"SELECT CASE WHEN least(a, b) > 0 THEN greatest(a, b) / least(a, b) WHEN greatest(a, b) = 0 THEN 1.0 ELSE {_T.duration_ratio[1]} END v FROM m WHERE a IS NOT NULL AND b IS NOT NULL"),
             _banded("'speaker_id_dominance_' || label", "v", _T.speaker_share, f"SELECT label, greatest(clip_share, duration_share) v FROM ({_dominance_sql('speaker_id', _CLASS)})"),
             _banded("'generator_dominance_' || label", "v", _T.generator_share, f"SELECT label, greatest(clip_share, duration_share) v FROM ({_dominance_sql('generator', 'label = ' + repr('spoof'))})"),
+            _banded("'loudness_rms'", "v", _T.rms_gap, "SELECT abs(avg(rms) FILTER (label = 'bonafide') - avg(rms) FILTER (label = 'spoof')) v FROM samples"),
             _banded("'dataset_class_confounding'", "v", _T.categorical, "SELECT 1.0::DOUBLE v FROM (SELECT dataset, count(DISTINCT label) k FROM samples GROUP BY dataset) HAVING count(*) > 1 AND count(*) FILTER (k = 1) = count(*)"),
         ]
     )
 )
 def q25_findings(spark, folder):
-    return _round(audit.findings(samples(spark, folder)), "value")
+    rows = samples(spark, folder)
+    loud = (f.bucket("rms", F.col("sample_id"), 1000) + F.when(F.col("label") == "spoof", 500).otherwise(0)) / F.lit(10000.0)
+    return _round(audit.findings(rows.withColumns({"file_format": f.file_format(F.lit(None).cast("string"), F.col("source_file")), "rms": loud})), "value")
 
 
 # checks --------------------------------------------------------------------------------------------------------------
@@ -368,10 +384,10 @@ def q34_split_overlap(spark, folder):
     return checks.split_overlap(samples(spark, folder), _CROSSED)
 
 
-@query("""SELECT coalesce(w.o_orderstatus, g.o_orderstatus) o_orderstatus, coalesce(expected, 0) expected, coalesce(found, 0) AS found, coalesce(expected, 0) = coalesce(found, 0) AS agrees
-    FROM (SELECT unnest(['F', 'O', 'X']) o_orderstatus, unnest([10, 20, 0])::BIGINT expected) w FULL JOIN (SELECT o_orderstatus, count(*) found FROM orders GROUP BY 1) g USING (o_orderstatus)""")
+@query(f"""WITH {SAMPLES} SELECT coalesce(w.split, g.split) AS split, coalesce(expected, 0) expected, coalesce(found, 0) AS found, coalesce(expected, 0) = coalesce(found, 0) AS agrees
+    FROM (SELECT unnest(['train', 'dev', 'extra']) AS split, unnest([100, 1852, 0])::BIGINT expected) w FULL JOIN (SELECT split, count(*) found FROM samples GROUP BY 1) g ON w.split = g.split""")
 def q35_contract(spark, folder):
-    return checks.against_contract(table(spark, folder, "orders"), "o_orderstatus", {"F": 10, "O": 20, "X": 0})
+    return checks.against_contract(samples(spark, folder), "split", {"train": 100, "dev": 1852, "extra": 0})
 
 
 @query(f"WITH {SAMPLES} SELECT label, language, count(*) n_rows, count(DISTINCT speaker_id) n_speakers FROM samples WHERE label IS NOT NULL GROUP BY 1, 2 HAVING count(*) < 100 OR count(DISTINCT speaker_id) < 5")
@@ -414,10 +430,13 @@ def q38_conflicting_copies(spark, folder):
     return found.where("n_sources > 1")
 
 
-@query("SELECT n_name, count(*) n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query(f"""WITH g AS (SELECT DISTINCT speakers[1] s FROM baseline_rows WHERE speakers[1] IS NOT NULL) SELECT CASE WHEN s IS NULL THEN NULL WHEN {bucket_sql('42', 's')} < 60 THEN 'train' WHEN {bucket_sql('42', 's')} < 80 THEN 'dev' ELSE 'test' END new_split, label, count(*) n
+    FROM baseline_rows LEFT JOIN g ON speakers[1] = s GROUP BY 1, 2""")
 def q39_assignment_join(spark, folder):
-    nation = table(spark, folder, "nation")
-    return table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+    """Rows take the split that their group was assigned; rows without a group have none."""
+    rows = table(spark, folder, "baseline_rows").withColumn("s", F.get("speakers", F.lit(0)))
+    assigned = rows.where("s IS NOT NULL").select("s").distinct().withColumn("new_split", f.thirds(f.bucket("42", F.col("s"))))
+    return rows.join(assigned, "s", "left").groupBy("new_split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SAMPLES} SELECT generator, CASE WHEN generator IN ('tarang_tts', 'lipi_flow') THEN 'train' WHEN generator = 'swaravani_2' THEN 'dev' WHEN generator = 'echo_morph_vc' THEN 'test' ELSE split END new_split, count(*) n FROM samples GROUP BY 1, 2")
@@ -427,12 +446,13 @@ def q40_generator_split(spark, folder):
 
 
 @query(
-    """WITH a AS (SELECT id FROM baseline_rows), b AS (SELECT DISTINCT id FROM recording_windows)
-    SELECT 'left_only' side, count(DISTINCT id) n FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT 'right_only', count(*) FROM b WHERE id NOT IN (SELECT id FROM a)
-    UNION ALL SELECT 'left_repeated', count(*) FROM (SELECT id FROM a GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'right_repeated', 0"""
+    """WITH a AS (SELECT id FROM baseline_rows), b AS (SELECT id FROM recording_windows WHERE window_index = 0)
+    SELECT 'left_only' side, count(DISTINCT id) n FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT 'right_only', count(DISTINCT id) FROM b WHERE id NOT IN (SELECT id FROM a)
+    UNION ALL SELECT 'left_repeated', count(*) FROM (SELECT id FROM a GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'right_repeated', count(*) FROM (SELECT id FROM b GROUP BY id HAVING count(*) > 1)"""
 )
 def q41_bijection(spark, folder):
-    return checks.bijection(table(spark, folder, "baseline_rows"), table(spark, folder, "recording_windows").select("id").distinct(), "id")
+    """Recordings against the inventory of their first windows."""
+    return checks.bijection(table(spark, folder, "baseline_rows"), table(spark, folder, "recording_windows").where("window_index = 0"), "id")
 
 
 # metrics -------------------------------------------------------------------------------------------------------------
@@ -535,10 +555,9 @@ def q78_content_identity(spark, folder):
     return metrics.content_identity(table(spark, folder, "baseline_rows").select(*_IDENTITY).distinct(), _IDENTITY)
 
 
-@query(f"""WITH {SAMPLES} SELECT CASE WHEN sample_rate IS NULL OR sample_rate NOT BETWEEN 8000 AND 192000 THEN 'sample_rate' WHEN duration IS NULL OR duration NOT BETWEEN 1 AND 30 THEN 'duration' END reason, count(*) n FROM samples GROUP BY 1""")
+@query("SELECT CASE WHEN sample_rate IS NULL OR sample_rate NOT BETWEEN 8000 AND 44100 THEN 'sample_rate' WHEN channels IS NULL OR channels NOT BETWEEN 1 AND 1 THEN 'channels' WHEN duration IS NULL OR duration NOT BETWEEN 2 AND 12 THEN 'duration' END reason, count(*) n FROM indicvoices GROUP BY 1")
 def q81_header_bounds(spark, folder):
-    rows = samples(spark, folder).withColumn("channels", F.lit(1))
-    return rows.groupBy(checks.first_reason(f.header_reason((1.0, 30.0), (8000, 192000), (1, 8))).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, folder, "indicvoices").groupBy(checks.first_reason(f.header_reason((2.0, 12.0), (8000, 44100), (1, 1))).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT sample_id, sha1(encode('blob ' || octet_length(encode(source_file)) || chr(0) || source_file)) AS blob FROM manifest WHERE source_file IS NOT NULL")

@@ -158,7 +158,8 @@ def row_groups(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
         for b in batches:
             rows = []
             for file in b["file"]:
-                meta, first = pq.read_metadata(file.removeprefix("file://")), 0
+                with open_file(file) as handle:
+                    meta, first = pq.ParquetFile(handle).metadata, 0
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
                     size = sum(group.column(c).total_compressed_size for c in range(group.num_columns) if not columns or group.column(c).path_in_schema.split(".")[0] in columns)
@@ -169,6 +170,68 @@ def row_groups(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return files.repartition(max(1, min(256, len(spark.read.parquet(path).inputFiles())))).mapInPandas(footers, "file string, row_group int, first_row bigint, n_rows bigint, bytes bigint")
 
 
+def row_group_counts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """file, row_group, the columns, n_rows: rows of each combination in each row group. Only these columns are read, one task per file."""
+    files = spark.createDataFrame([(x,) for x in spark.read.parquet(path).inputFiles()], "file string")
+    kinds = {c.name: c.dataType.simpleString() for c in spark.read.parquet(path).schema}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            for file in b["file"]:
+                with open_file(file) as handle:
+                    table = pq.ParquetFile(handle)
+                    for g in range(table.num_row_groups):
+                        held = table.read_row_group(g, columns=columns).group_by(columns).aggregate([([], "count_all")]).to_pandas()
+                        yield held.rename(columns={"count_all": "n_rows"}).assign(file=file, row_group=g)[["file", "row_group", *columns, "n_rows"]]
+
+    shape = ", ".join(["file string", "row_group int", *(f"`{c}` {kinds[c]}" for c in columns), "n_rows bigint"])
+    return files.repartition(max(1, min(256, files.count()))).mapInPandas(count, shape)
+
+
+def read_planned_groups(spark: SparkSession, plan: DataFrame, language: str, split: str, labels: tuple[str, ...] = ("bonafide", "spoof")) -> DataFrame:
+    """unit and all columns of the rows of one language in the planned row groups (file, row_group, unit, n_rows), each read alone; the files need language, split, label and row_id.
+
+    A row of the language with another split, an illegal label or no id, or a group with another number of such rows than planned, is an error."""
+    first = plan.first()
+    if first is None:
+        raise ValueError("nothing is planned")
+    kinds = spark.read.parquet(first["file"]).schema
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            for file, group, unit, wanted in zip(b["file"], b["row_group"], b["unit"], b["n_rows"]):
+                with open_file(file) as handle:
+                    held = pq.ParquetFile(handle).read_row_group(int(group))
+                rows = held.filter(pc.equal(held["language"], language)).to_pandas()
+                if not (rows["split"].eq(split) & rows["label"].isin(labels) & rows["row_id"].notna()).all():
+                    raise ValueError(f"a row of {unit} violates the split and label contract")
+                if len(rows) != wanted:
+                    raise ValueError(f"{unit} has {len(rows)} rows, {wanted} were planned")
+                yield rows.assign(unit=unit)[["unit", *kinds.names]]
+
+    shape = T.StructType([T.StructField("unit", T.StringType()), *kinds])
+    return plan.select("file", "row_group", "unit", "n_rows").repartition(max(1, min(256, plan.count()))).mapInPandas(read, shape)
+
+
+def covered(written: DataFrame, plan: DataFrame) -> DataFrame:
+    """unit, planned, written of the units whose written rows aren't as many as planned; none if the sink is complete."""
+    found = written.groupBy("unit").agg(F.count(F.lit(1)).alias("written"))
+    both = plan.groupBy("unit").agg(F.sum("n_rows").alias("planned")).join(found, "unit", "full")
+    return both.select("unit", F.coalesce("planned", F.lit(0)).alias("planned"), F.coalesce("written", F.lit(0)).alias("written")).where("planned <> written")
+
+
+def by_ordinal(metadata: DataFrame, audio: DataFrame, number: str) -> DataFrame:
+    """metadata with the audio of the same row number; of the audio only rows that are asked for. A number without audio is an error."""
+    found = metadata.join(audio.withColumn("__there", F.lit(True)), number, "left")
+    lost = F.raise_error(F.concat(F.lit("no audio of row "), F.col(number).cast("string"))).cast("boolean")
+    return found.where(F.coalesce("__there", lost)).drop("__there")
+
+
 def listing(files: DataFrame, pattern: str, most_bytes: int) -> DataFrame:
     """Files of an inventory (path, size) whose path has the pattern and whose size is within bounds, by path."""
     return files.where(F.col("path").rlike(pattern) & F.col("size").between(1, most_bytes)).orderBy("path")
@@ -208,21 +271,44 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, indent=2, allow_nan=False, ensure_ascii=False) + "\n"
 
 
-def archive_members(spark: SparkSession, path: str, suffix: str, done: DataFrame | None = None) -> DataFrame:
-    """archive, member, content of the files with this suffix in tar archives, compressed ones too, one task per archive; members that `done` (archive, member) holds are left out, and so are other kinds of members."""
+def open_file(path: str):
+    """A file of any file system that the path names, for reading in a task."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), unquote(path.removeprefix("file:")))
+    return files.open_input_file(inner)
+
+
+def archive_members(spark: SparkSession, path: str, suffix: str, done: DataFrame | None = None, sizes: dict[str, int] | None = None, wanted: list[str] | None = None) -> DataFrame:
+    """archive, member, content of the files with this suffix in tar archives, compressed ones too; members that `done` (archive, member) holds are left out, and so are other kinds of members.
+
+    One task per archive, which passes through it once, a member at a time, so that an archive may be larger than memory. sizes: bytes that each
+    archive, by its name, must have. wanted: members that must all be there; others are left out."""
+
+    found = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    if sizes is not None and {r["path"].rsplit("/", 1)[1]: r["length"] for r in found} != sizes:
+        raise ValueError("archives aren't those that were pinned")
+    asked = None if wanted is None else set(wanted)
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
         import tarfile
 
         for b in batches:
-            for file, content in zip(b["path"], b["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+            for file in b["path"]:
+                left = None if asked is None else set(asked)
+                with open_file(file) as handle, tarfile.open(fileobj=handle, mode="r|*") as tar:
                     for m in tar:
-                        if m.isfile() and m.name.lower().endswith(suffix):
+                        if m.isfile() and m.name.lower().endswith(suffix) and (left is None or m.name in left):
+                            if left is not None:
+                                left.discard(m.name)
                             yield pd.DataFrame({"archive": [file], "member": [m.name], "content": [tar.extractfile(m).read()]})
+                if left:
+                    raise ValueError(f"{file} lacks {sorted(left)[:5]}")
 
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
+    files = spark.createDataFrame([(r["path"],) for r in found], "path string")
+    out = files.repartition(max(1, len(found))).mapInPandas(members, "archive string, member string, content binary")
     return out if done is None else out.join(done.select("archive", "member"), ["archive", "member"], "left_anti")
 
 

@@ -7,16 +7,20 @@ import tempfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoplan.operators import balance, checks, metrics
 from sonoplan.operators.audio import encode_wav
+from sonoplan.session import durable, exists, write_text
 from sonoplan.sources.metadata import MANIFEST, canonical_json
 
 
-def write_json(path: str, value) -> None:
-    """Sorted keys, no NaN, whole or not at all."""
+def write_json(path: str, value, spark: SparkSession | None = None) -> None:
+    """Sorted keys, no NaN, whole or not at all; with a session in whatever file system the path names."""
+    if spark is not None:
+        write_text(spark, path, canonical_json(value))
+        return
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=target.parent)
@@ -38,7 +42,7 @@ def append_manifest(df: DataFrame, path: str) -> None:
     if not checks.label_violations(rows).isEmpty() or not rows.where("sample_id IS NULL OR dataset IS NULL").isEmpty():
         raise ValueError("illegal label, or no sample_id or dataset")
     both = rows.select("dataset", "sample_id")
-    if os.path.exists(path.removeprefix("file://")):
+    if exists(df.sparkSession, path):
         both = both.unionByName(df.sparkSession.read.parquet(path).select("dataset", "sample_id"))
     if not both.groupBy("dataset", "sample_id").count().where("count > 1").isEmpty():
         raise ValueError("a sample_id would stand twice")
@@ -52,11 +56,13 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 def write_reports(df: DataFrame, folder: str) -> None:
     """The five balance tables as CSV, and a summary."""
-    sets = balance.balance_sets(df)
+    sets = durable(balance.balance_sets(df))
     for name, fields in {"label": ["label"], "label,language": ["label", "language"], "label,speaker_id": ["label", "speaker_id"], "generator": ["generator"], "language,generator": ["language", "generator"]}.items():
         write_csv(sets.where(F.col("table_name") == name).select(*fields, *balance.MEASURES), f"{folder}/balance_{name.replace(',', '_')}", fields)
-    stats = balance.numeric_stats(df, "duration").first().asDict()
-    write_json(f"{folder.removeprefix('file://')}/summary.json", {"duration": stats})
+    told: dict[str, dict] = {}
+    for r in balance.summary(df, ["dataset", "label", "language", "gender", "codec", "generator", "split", "sample_rate"]).collect():
+        told.setdefault(r["section"], {})[r["name"]] = r["value"]
+    write_json(f"{folder}/summary.json", told, df.sparkSession)
 
 
 def write_metrics(scored: DataFrame, folder: str) -> None:
@@ -73,7 +79,7 @@ def write_metrics(scored: DataFrame, folder: str) -> None:
     write_csv(metrics.reliability(scored), f"{folder}/calibration_bins", ["bin"])
     write_csv(metrics.roc_points(scores), f"{folder}/roc_points", ["threshold"])
     write_csv(metrics.pr_points(scores), f"{folder}/precision_recall_points", ["threshold"])
-    write_json(f"{folder.removeprefix('file://')}/metrics.json", values)
+    write_json(f"{folder}/metrics.json", values, spark)
 
 
 def write_audio(df: DataFrame, folder: str, key: str, samples: str, rate: int) -> DataFrame:

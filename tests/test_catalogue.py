@@ -7,10 +7,10 @@ import os
 import pytest
 
 from compare import connect, differ
-from sonoplan.plans import arrays, catalogue, problems
+from sonoplan.plans import arrays, catalogue, problems, reports
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ALL = {n: (q, part.SQL.get(n)) for part in (catalogue, arrays, problems) for n, q in part.QUERIES.items()}
+ALL = {n: (q, part.SQL.get(n)) for part in (catalogue, arrays, reports, problems) for n, q in part.QUERIES.items()}
 
 
 @pytest.fixture(scope="session")
