@@ -79,8 +79,10 @@ def _choose(marks: np.ndarray, low: int, high: int, target: int, least: int) ->
     return int(at[np.argmin(np.abs(at - target))])
 
 
-def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits) -> list[tuple[int, int, int, int, str]]:
-    """First and past-last token, start and end character, and what the piece ends at. A piece of a single new token isn't cut further, whatever its text alone has."""
+def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits, trust: bool = False) -> list[tuple[int, int, int, int, str]]:
+    """First and past-last token, start and end character, and what the piece ends at. A piece of a single new token isn't cut further, whatever its text alone has.
+
+    trust: take it that each piece's own text is within the limit; if that is found true of all, the pieces are those that come without trust."""
     most, overlap = limits.most, limits.overlap
     ends = np.cumsum(enc.length[ids])
     starts = np.concatenate([[0], ends])
@@ -105,7 +107,7 @@ def cut(enc: Encoder, text: str, ids: np.ndarray, limits: Limits) -> list[tuple[
                 end = _choose(marks, *close, target, SENTENCE) or _choose(marks, low, high, target, SENTENCE) or _choose(marks, *close, target, WORD)
                 end = end or _choose(marks, least, high, target, WORD) or _choose(marks, low, high, target, NONE) or _choose(marks, least, high, target, NONE) or high
             a, b = char(first), char(end)
-            over = len(enc.encode([text[a:b]])[0]) - most
+            over = 0 if trust else len(enc.encode([text[a:b]])[0]) - most
             if over <= 0 or end <= least:
                 break
             # a token less makes the text shorter by about a token; after some tries in longer and longer steps
@@ -131,11 +133,14 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str = VOCABULARY,
             # each token is at least one byte
             long = [i for i, t in enumerate(texts) if t and len(t) * 4 > limits.most and len(t.encode("utf-8", "surrogatepass")) > limits.most]
             flat, offsets = enc.encode([texts[i] for i in long])
-            for k, i in enumerate(long):
-                ids = flat[offsets[k] : offsets[k + 1]]
-                if len(ids) <= limits.most:
-                    continue
-                pieces = cut(enc, texts[i], ids, limits)
+            ids = {i: flat[offsets[k] : offsets[k + 1]] for k, i in enumerate(long) if offsets[k + 1] - offsets[k] > limits.most}
+            found = {i: cut(enc, texts[i], own, limits, True) for i, own in ids.items()}
+            # the pieces' own texts, all at once; a text with one that is too long is cut again, piece by piece
+            sizes = np.diff(enc.encode([texts[i][a:b] for i, pieces in found.items() for _, _, a, b, _ in pieces])[1]) if found else []
+            at = 0
+            for i, pieces in found.items():
+                if sizes[at : (at := at + len(pieces))].max() > limits.most:
+                    pieces = cut(enc, texts[i], ids[i], limits)
                 a = pd.DataFrame(pieces, columns=["token_start", "token_end", "char_start", "char_end", "boundary"])
                 columns = [keys.take(pa.array([i] * len(a))), pa.array(range(len(a)), pa.int32()), *(pa.array(a[c].to_numpy(), pa.int64()) for c in a.columns[:4]), pa.array((a.token_end - a.token_start).to_numpy(), pa.int64()), pa.array(a.boundary.tolist(), pa.string()), pa.array([texts[i][x:y] for x, y in zip(a.char_start, a.char_end)])]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "piece_no", *a.columns[:4], "n_tokens", "boundary", "piece"])
