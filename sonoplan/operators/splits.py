@@ -31,6 +31,9 @@ def speaker_disjoint(df: DataFrame, ratios: tuple[float, float, float] = (0.6, 0
     n = F.col("n")
     enough = lambda r, c: F.greatest(F.round(F.lit(r) * c), F.when(n >= 3, F.lit(1 if r else 0)).otherwise(F.lit(0)))
     dev, test = enough(ratios[1], n), enough(ratios[2], n)
+    # where rounding leaves train without a group, the larger of the others gives it
+    lack = F.greatest(F.lit(0), F.when(n >= 3, F.lit(1 if ratios[0] else 0)).otherwise(F.lit(0)) - (n - dev - test))
+    dev, test = F.when(dev >= test, dev - lack).otherwise(dev), F.when(dev >= test, test).otherwise(test - lack)
     split = F.when(F.col("at") <= n - dev - test, "train").when(F.col("at") <= n - test, "dev").otherwise("test")
     return keyed.join(ranked.select("group_key", split.alias("new_split")), "group_key", "left")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoplan.functions.fields import bucket, thirds
@@ -15,7 +16,7 @@ from sonoplan.operators.graph import connected_components
 from sonoplan.plans.catalogue import _eligible, _round
 from sonoplan.plans.views import SAMPLES, bucket_sql, samples
 from sonoplan.session import durable
-from sonoplan.sources.metadata import row_groups
+from sonoplan.sources.metadata import row_group_counts, row_groups
 from sonoplan.sources.tables import table
 from sonoplan.streaming import streams
 
@@ -240,10 +241,18 @@ def q79_speaker_disjoint(spark, folder):
     return splits.speaker_disjoint(samples(spark, folder)).where("group_key IS NOT NULL").select("group_key", "new_split").distinct()
 
 
-@query()
+@query("SELECT count(*) n_rows, true AS contiguous FROM manifest")
+def q80_footers(spark, folder):
+    """Rows of all row groups by the files' footers, and whether each begins where the one before ends."""
+    found = row_groups(spark, f"{folder}/manifest.parquet", ["language", "label"])
+    before = F.coalesce(F.sum("n_rows").over(W.partitionBy("file").orderBy("row_group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return found.withColumn("fits", F.col("first_row") == before).agg(F.sum("n_rows").alias("n_rows"), F.min("fits").alias("contiguous"))
+
+
+@query("SELECT language, label, count(*) n_rows FROM manifest GROUP BY 1, 2")
 def q80_row_groups(spark, folder):
-    """Rows and bytes of each row group, from the footers alone, without the file's folder."""
-    return row_groups(spark, f"{folder}/manifest.parquet", ["language", "label"]).withColumn("file", F.regexp_extract("file", r"([^/]*)$", 1))
+    """Rows of each language and class, counted in the row groups without reading other columns."""
+    return row_group_counts(spark, f"{folder}/manifest.parquet", ["language", "label"]).groupBy("language", "label").agg(F.sum("n_rows").alias("n_rows"))
 
 
 # streaming -----------------------------------------------------------------------------------------------------------

@@ -245,6 +245,16 @@ def requested_subsets(wanted: list[str], offered: DataFrame) -> DataFrame:
     return names.join(offered, F.lower("requested") == F.lower("config"), "left").groupBy("requested").agg(many.alias("config"))
 
 
+def check_preview(names: list[str], truncated: DataFrame) -> None:
+    """Refuses a preview that names a column twice, or of which a row (row_no, cells) has cells that were cut off."""
+    doubled = sorted({n for n in names if names.count(n) > 1})
+    if doubled:
+        raise ValueError(f"columns named twice: {doubled}")
+    cut = truncated.where(F.size("cells") > 0).limit(3).collect()
+    if cut:
+        raise ValueError(f"cells were cut off in rows {[r['row_no'] for r in cut]}")
+
+
 def feature_errors(features: DataFrame) -> DataFrame:
     """id of stored features whose digest doesn't match their bytes."""
     return features.where(F.sha2("feature", 256) != F.col("sha")).select("id")

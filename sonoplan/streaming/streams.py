@@ -166,19 +166,27 @@ def check_contract(spark: SparkSession, folder: str, contract: dict) -> None:
         write_text(spark, path, said)
 
 
-def append_new(batch: DataFrame, folder: str, key: str) -> None:
-    """For foreachBatch: adds the rows whose key the sink doesn't hold; a repeated batch adds nothing."""
+def append_new(batch: DataFrame, folder: str, key: str, digest: str | None = None) -> None:
+    """For foreachBatch: adds the rows whose key the sink doesn't hold; a repeated batch adds nothing.
+
+    digest: a column that must be the same wherever a key comes again; another one is an error."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key])
     target = f"{folder}/data"
+    if digest is not None:
+        known = batch.select(key, digest)
+        if exists(spark, target):
+            known = known.unionByName(spark.read.parquet(target).join(batch.select(key).distinct(), key, "left_semi").select(key, digest))
+        if not known.groupBy(key).agg((F.min(digest) != F.max(digest)).alias("c")).where("c").isEmpty():
+            raise ValueError(f"a {key} has come with another {digest}")
     if exists(spark, target):
         fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
     fresh.write.mode("append").parquet(target)
 
 
-def resumable_copy(stream: DataFrame, folder: str, key: str, contract: dict) -> int:
+def resumable_copy(stream: DataFrame, folder: str, key: str, contract: dict, digest: str | None = None) -> int:
     """Streams rows into an idempotent sink and returns the batches run; a run after a finished one reads nothing."""
     check_contract(stream.sparkSession, folder, contract)
-    query = stream.writeStream.foreachBatch(lambda df, _: append_new(df, folder, key)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda df, _: append_new(df, folder, key, digest)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return len([p for p in query.recentProgress if p["numInputRows"]])

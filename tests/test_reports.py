@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sonoplan.operators import audio, audit, balance, checks, leakage, metrics, sampling, splits
 from sonoplan.sources import metadata, sinks
+from sonoplan.streaming import streams
 
 
 def test_settings_refuse_what_makes_no_sense():
@@ -154,6 +155,41 @@ def test_archives_are_pinned_and_complete(spark, tmp_path):
         names(wanted=["x/three.wav"])
 
 
+def test_archives_as_a_data_source(spark, tmp_path):
+    from sonoplan.sources.archives import TarMembers
+
+    for archive in ("a.tar.gz", "b.tar"):
+        with tarfile.open(tmp_path / archive, "w:gz" if archive.endswith("gz") else "w") as tar:
+            for name in ("x/one.WAV", "notes.txt"):
+                info = tarfile.TarInfo(name)
+                info.size = 3
+                tar.addfile(info, io.BytesIO(b"abc"))
+    spark.dataSource.register(TarMembers)
+    read = lambda **more: spark.read.format("tar_members").options(suffix=".wav", **more).load(f"{tmp_path}/a.tar.gz,{tmp_path}/b.tar").collect()
+    assert [(r.member, bytes(r.content)) for r in read()] == [("x/one.WAV", b"abc")] * 2
+    with pytest.raises(Exception, match="at most 2"):
+        read(most_bytes="2")
+
+
+def test_small_group_splits_and_previews(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([(f"s{k}", "f") for k in range(n)], "speaker_id string, source_file string")
+    for n, ratios, want in ((3, (0.05, 0.5, 0.45), (1, 1, 1)), (4, (0.05, 0.5, 0.45), (1, 1, 2)), (2, (0.6, 0.2, 0.2), (2, 0, 0)), (10, (0.6, 0.2, 0.2), (6, 2, 2)), (4, (0.0, 0.5, 0.5), (0, 2, 2))):
+        got = {r["new_split"]: r["count"] for r in splits.speaker_disjoint(rows(n), ratios).groupBy("new_split").count().collect()}
+        assert tuple(got.get(s, 0) for s in ("train", "dev", "test")) == want, (n, ratios, got)
+    cells = spark.createDataFrame([(1, []), (2, ["text"])], "row_no int, cells array<string>")
+    metadata.check_preview(["a", "b"], cells.where("row_no = 1"))
+    for wrong in ((["a", "a"], cells.where("row_no = 1")), (["a"], cells)):
+        with pytest.raises(ValueError):
+            metadata.check_preview(*wrong)
+    folder = f"file://{tmp_path}/sink"
+    first = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, sha string")
+    for _ in range(2):
+        streams.append_new(first, folder, "id", "sha")
+    assert spark.read.parquet(f"{folder}/data").count() == 2
+    with pytest.raises(ValueError):
+        streams.append_new(spark.createDataFrame([("a", "9")], "id string, sha string"), folder, "id", "sha")
+
+
 def test_adapters_take_namespaces_and_languages(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text('[{"sample_id": "a", "speaker_id": 7}, {"sample_id": "b", "language": "ta"}]')
