@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,7 +18,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where the vocabulary lies unless another path is given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -204,9 +206,21 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for each worker."""
-    return Encoder(path)
+def encoder(path: str, sent: bool = False) -> Encoder:
+    """One for each worker, by the file that ship() sent along or the one at the path."""
+    return Encoder(SparkFiles.get(os.path.basename(path)) if sent else path)
+
+
+_SENT: dict[tuple[str, str], str] = {}
+
+
+def ship(spark: SparkSession, path: str) -> bool:
+    """Sends the driver's vocabulary file along with the tasks, so that workers need none of their own. False where the driver has none, or has sent another of that name; then workers read the path."""
+    key = spark.sparkContext.applicationId, os.path.basename(path)
+    if key not in _SENT and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _SENT[key] = path
+    return _SENT.get(key) == path
 
 
 def encode_texts(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
@@ -214,9 +228,10 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
 
     A map over the rows: nothing is shuffled, and other columns aren't read."""
     narrow = df.select(key, text)
+    sent = ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, sent)
         for batch in batches:
             flat, offsets = enc.encode(batch.column(1).to_pylist())
             ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(pa.list_(pa.int32()))

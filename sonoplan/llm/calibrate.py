@@ -22,6 +22,8 @@ TINY = 1e-9
 MARGINS = ("language", "label", "generator")
 #: Records of a cell that one block of the draw has, about.
 BLOCK = 50_000
+#: Cells that come to the driver and to each task at most; more are refused.
+MOST_CELLS = 10_000
 #: How soft the margins are: see tilt.
 SOFT = 0.01
 
@@ -103,6 +105,8 @@ def plan(records: DataFrame, cells: DataFrame, margins: tuple[str, ...] = MARGIN
     """The cells with what they hold, want and give, and the members. Only two numbers per cell come to the driver.
 
     A record of several cells is available to each of them, but may be drawn for the least of them only (n_own)."""
+    if cells.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
     held = durable(members(records, cells))
     counts = held.select(F.posexplode("cells").alias("at", "cell_id")).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("at") == 0, 1)).alias("own")).collect()
     out = cells.toPandas().sort_values("cell_id", ignore_index=True)

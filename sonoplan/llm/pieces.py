@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sonoplan.llm.bpe import SPACE, VOCABULARY, Encoder, encoder
+from sonoplan.llm.bpe import SPACE, VOCABULARY, Encoder, encoder, ship
 
 #: Strengths of boundaries. A cut has the strength of the strongest that ends at it; INSIDE is no place for a cut unless nothing else is left.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, NONE, INSIDE = 5, 4, 3, 2, 1, 0, -1
@@ -125,9 +125,10 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str = VOCABULARY,
     boundary is what the piece ends at: paragraph, line, sentence, clause, word, inside a word, inside a letter, or end. Pieces after the first begin with the last `overlap` tokens of the one before. Null, empty and short texts give no rows. A
     character cut by a token border at a piece's start is shown whole. A map over the rows: nothing is shuffled."""
     kind = df.schema[key].dataType.simpleString()
+    sent = ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, sent)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             # each token is at least one byte

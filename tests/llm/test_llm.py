@@ -69,6 +69,15 @@ def test_null_and_empty_texts(spark):
     assert encode_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_vocabulary_goes_with_the_tasks(spark, tmp_path):
+    path = tmp_path / "moved.json"
+    path.write_bytes(open(VOCABULARY, "rb").read())
+    df = spark.createDataFrame([(1, "hello there")], "doc_id bigint, text string")
+    found = encode_texts(df, "doc_id", "text", str(path))
+    path.unlink()
+    assert found.collect() == encode_texts(df, "doc_id", "text").collect()
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------------
 
 
