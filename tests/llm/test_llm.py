@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from compare import connect, differ
 from sonoplan.llm import calibrate, grouped_split, queries, sql
-from sonoplan.llm.bpe import VOCABULARY, Encoder, encode_texts
+from sonoplan.llm.bpe import VOCABULARY, Encoder, encode_texts, ship
 from sonoplan.llm.canonical import allowed, edits, letters, meanings, similar_words, words_of
 from sonoplan.llm.leak import Items, find_leaks, find_near, index_block, pack, terms, unpack
 from sonoplan.llm.overlap import FullTextIndex, overlap_pairs
@@ -70,12 +70,14 @@ def test_null_and_empty_texts(spark):
 
 
 def test_vocabulary_goes_with_the_tasks(spark, tmp_path):
-    path = tmp_path / "moved.json"
-    path.write_bytes(open(VOCABULARY, "rb").read())
+    (tmp_path / "other").mkdir()
+    path, same_name = tmp_path / "sent.json", tmp_path / "other" / "sent.json"
+    for p in (path, same_name):
+        p.write_bytes(open(VOCABULARY, "rb").read())
     df = spark.createDataFrame([(1, "hello there")], "doc_id bigint, text string")
-    found = encode_texts(df, "doc_id", "text", str(path))
-    path.unlink()
-    assert found.collect() == encode_texts(df, "doc_id", "text").collect()
+    want = encode_texts(df, "doc_id", "text").collect()
+    assert ship(spark, str(path)) and ship(spark, str(path)) and not ship(spark, str(same_name)) and not ship(spark, str(tmp_path / "none.json"))
+    assert encode_texts(df, "doc_id", "text", str(path)).collect() == encode_texts(df, "doc_id", "text", str(same_name)).collect() == want
 
 
 # 9 -----------------------------------------------------------------------------------------------------------------------
