@@ -156,6 +156,20 @@ def sorted_keys(space: str, *parts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.array_compact(F.array(*map(identity, parts))), lambda x: F.concat(F.lit(f"{space}:"), x))))
 
 
+def references(space: str, *paths: Column) -> Column:
+    """Sorted distinct names of the files that a record was made from, with their namespace."""
+    named = F.transform(F.array_compact(F.array(*map(identity, paths))), lambda p: F.concat(F.lit(f"{space}:reference:"), F.element_at(F.split(F.replace(p, F.lit("\\"), F.lit("/")), "/"), -1)))
+    return F.array_sort(F.array_distinct(named))
+
+
+def speaker_reason(synthetic: bool, speaker: Column, target: Column, source: Column, generator: Column) -> dict[str, Column]:
+    """What is missing of a record's speakers, in order: the speaker of a genuine one; of a synthetic one its target, for voice conversion (generators named freevc...) its source, its generator."""
+    if not synthetic:
+        return {"missing_speaker": identity(speaker).isNull()}
+    convert = F.coalesce(F.lower(generator.cast("string")).startswith("freevc"), F.lit(False))
+    return {"missing_target_speaker": identity(target).isNull(), "missing_source_speaker": convert & identity(source).isNull(), "missing_generator": identity(generator).isNull()}
+
+
 def verdict(score: Column, threshold: float = 0.5, margin: float = 0.1) -> Column:
     return F.when(F.abs(score - F.lit(threshold)) < margin, "inconclusive").when(score >= threshold, "synthetic").otherwise("genuine")
 
@@ -182,6 +196,12 @@ def header_reason(seconds: tuple[float, float], rates: tuple[int, int], channels
     return {"sample_rate": out("sample_rate", rates), "channels": out("channels", channels), "duration": out("duration", seconds)}
 
 
+#: Seconds, rates and channels of the headers that each use takes.
+HEADER_BOUNDS = {
+    "baseline": ((1.0, 30.0), (8000, 192000), (1, 8)), "english": ((0.0, 120.0), (16000, 16000), (1, 1)), "recording": ((0.0, 120.0), (8000, 96000), (1, 2)), "demo": ((1.0, 120.0), (8000, 192000), (1, 8)),
+}
+
+
 def score_reason() -> dict[str, Column]:
     """What is wrong with a scored clip (synthetic_score, threshold, duration_seconds, window_start_seconds, window_seconds), in order."""
     bad = lambda c, low, high: ~F.coalesce(F.col(c).between(low, high), F.lit(False)) | F.isnan(c)

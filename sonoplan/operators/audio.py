@@ -223,6 +223,30 @@ def score_clips(df: DataFrame, key: str, samples: str, factory: Callable[[], Cal
     return found.select(F.col("key").alias(key), "synthetic_score", verdict(F.col("synthetic_score"), threshold).alias("verdict"))
 
 
+def transformed(df: DataFrame, key: str, samples: str, change: Callable[[np.ndarray], tuple[np.ndarray, dict[str, str]]]) -> DataFrame:
+    """key, feature, properties, error: what a function of the samples gives, an array and texts by name. A record on which it fails has the error, and stops nothing; a null clip is such a record."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, x in zip(b["key"], b["x"]):
+                try:
+                    feature, told = change(np.asarray(x, np.float32)) if x is not None else ({}["no samples"], {})
+                    rows.append((k, np.asarray(feature, np.float32).ravel(), {str(n): str(v) for n, v in told.items()}, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((k, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["key", "feature", "properties", "error"])
+
+    return df.select(F.col(key).alias("key"), F.col(samples).alias("x")).mapInPandas(run, f"key {kind}, feature array<float>, properties map<string,string>, error string").withColumnRenamed("key", key)
+
+
+def centre_features(clips: DataFrame, window: int = 4 * RATE) -> DataFrame:
+    """path, n_frames, feature, sha of the middle window of each decoded clip; clips with an error give none."""
+    good = clips.where("audio_error IS NULL AND size(samples) > 0")
+    return log_mels(good.select("path", waveform.centre(F.col("samples"), window).alias("w")), "path", "w")
+
+
 def feature_reason(w: Column, length: int, rate: Column, expected_rate: int) -> Column:
     """What is wrong with a stored feature or decoded clip: missing, shape, not_finite, rate, in this order; null where nothing is."""
     return F.when(w.isNull(), "missing").when(F.size(w) != length, "shape").when(~waveform.finite(w), "not_finite").when(rate.isNull() | (rate != expected_rate), "rate")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sonoplan.functions import fields as f
 from sonoplan.functions.text import digest_key
 from sonoplan.operators import audio, audit, balance, leakage, metrics, sampling, splits
+from sonoplan.operators.checks import first_reason
 from sonoplan.plans.catalogue import _digest_sql, _round
 from sonoplan.plans.views import PREDICTIONS, SAMPLES, bucket_sql, predictions, samples
 from sonoplan.sources.metadata import by_ordinal
@@ -214,6 +215,41 @@ def q101_detector(spark, folder):
     return _round(audio.score_clips(_clips(spark, folder), "vec_id", "embedding", loudness), "synthetic_score")
 
 
+@query("SELECT vec_id, CASE WHEN list_max(embedding) <= 0.35 THEN round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * 2, 5) END total, list_max(embedding) > 0.35 AS failed FROM embeddings")
+def q104_transformed(spark, folder):
+    """A function of each clip; one that fails on loud clips stops nothing."""
+
+    def doubled(x: np.ndarray) -> tuple[np.ndarray, dict[str, str]]:
+        if x.max() > np.float32(0.35):
+            raise ValueError("too loud")
+        return x * 2, {"n": str(len(x))}
+
+    found = audio.transformed(_clips(spark, folder), "vec_id", "embedding", doubled)
+    total = F.aggregate("feature", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+    return found.select("vec_id", F.round(total, 5).alias("total"), F.col("error").isNotNull().alias("failed"))
+
+
+_NAMES = "list_sort(list_distinct(list_transform(list_filter(reference_keys, lambda x: x IS NOT NULL AND lower(trim(x)) NOT IN ('', 'nan', 'none', 'null')), lambda x: 'indicsynth:reference:' || split_part(replace(x, chr(92), '/'), '/', -1))))"
+
+
+@query(f"SELECT id, array_to_string({_NAMES}, ',') AS names FROM (SELECT DISTINCT id, reference_keys[1:2] reference_keys FROM baseline_rows)")
+def q105_references(spark, folder):
+    """The names of up to two files that each recording was made from."""
+    rows = table(spark, folder, "baseline_rows").select("id", F.slice("reference_keys", 1, 2).alias("r")).distinct()
+    return rows.select("id", F.array_join(f.references("indicsynth", F.get("r", F.lit(0)), F.get("r", F.lit(1))), ",").alias("names"))
+
+
+@query(
+    """WITH s AS (SELECT CASE WHEN t IS NULL THEN 'missing_target_speaker' WHEN g IS NULL THEN 'missing_generator' END reason FROM (SELECT CASE WHEN lower(trim(target_speaker_id, ' ' || chr(9) || chr(160))) NOT IN ('', 'nan', 'none', 'null') THEN 1 END t, CASE WHEN lower(trim(generative_model, ' ' || chr(9) || chr(160))) NOT IN ('', 'nan', 'none', 'null') THEN 1 END g FROM indicsynth))
+    SELECT reason, count(*) n FROM s GROUP BY 1"""
+)
+def q106_speaker_reasons(spark, folder):
+    """Synthetic recordings by what their speakers lack."""
+    rows = table(spark, folder, "indicsynth")
+    why = f.speaker_reason(True, F.lit(None), F.col("target_speaker_id"), F.lit("s"), F.col("generative_model"))
+    return rows.groupBy(first_reason(why).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT CASE WHEN vec_id % 9 = 0 THEN 'missing' WHEN vec_id % 7 = 0 THEN 'shape' WHEN vec_id % 5 = 0 THEN 'rate' WHEN len(embedding) <> 64 THEN 'shape' END reason, count(*) n FROM embeddings GROUP BY 1")
 def q102_feature_checks(spark, folder):
     """Stored features by what is wrong with them; every ninth is missing, every seventh too short, every fifth of another rate."""

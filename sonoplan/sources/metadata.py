@@ -121,11 +121,14 @@ def load_inputs(spark: SparkSession, specs: dict[str, list[dict]]) -> DataFrame:
     return out
 
 
-def read_required(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_required(spark: SparkSession, path: str, columns: list[str], most_rows: int | None = None) -> DataFrame:
+    """The named columns of a Parquet table; a missing one, or more rows than the bound, is an error."""
     table = spark.read.parquet(path)
     gone = sorted(set(columns) - set(table.columns))
     if gone:
         raise ValueError(f"{path} lacks {gone}")
+    if most_rows is not None and table.count() > most_rows:
+        raise ValueError(f"{path} has more than {most_rows} rows")
     return table.select(*columns)
 
 
@@ -134,8 +137,19 @@ def read_strict_json(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).option("multiLine", True).option("allowNonNumericNumbers", False).option("mode", "FAILFAST").json(path)
 
 
-def read_sniffed(spark: SparkSession, path: str, needed: str = "original_file", separators: str = "|;,") -> DataFrame:
-    """A delimited table whose separator is the one under which the header holds the needed column."""
+def read_sniffed(spark: SparkSession, path: str, needed: str = "original_file", separators: str = "|;,", languages: list[str] | None = None, inventory: DataFrame | None = None) -> DataFrame:
+    """A delimited table whose separator is the one under which the header holds the needed column.
+
+    languages: rows of another language are an error; inventory: (path) of the files there are, a row of another path is one."""
+    table = _sniffed(spark, path, needed, separators)
+    if languages is not None and not table.where(F.col("language").isNull() | ~F.col("language").isin(*languages)).isEmpty():
+        raise ValueError(f"{path} has rows of other languages than {languages}")
+    if inventory is not None and not table.join(inventory.select("path"), "path", "left_anti").isEmpty():
+        raise ValueError(f"{path} names files that the inventory lacks")
+    return table
+
+
+def _sniffed(spark: SparkSession, path: str, needed: str, separators: str) -> DataFrame:
     head = (spark.read.text(path).first() or [""])[0].removeprefix("﻿")
     for s in separators:
         if needed in [x.strip() for x in head.split(s)]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import io
+import json
 import random
 import tarfile
 
@@ -190,6 +191,40 @@ def test_small_group_splits_and_previews(spark, tmp_path):
         streams.append_new(spark.createDataFrame([("a", "9")], "id string, sha string"), folder, "id", "sha")
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from sonoplan.__main__ import main
+
+    rows = [{"row_id": f"{s}{k}", "language": "en", "split": s, "label": k, "speaker_id": f"{s}{k}", "audio_sha256": f"{n:064x}"} for n, (s, k) in enumerate((s, k) for s in ("train", "validation", "evaluation") for k in ("spoof", "bonafide"))]
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    assert main(["audit", str(tmp_path / "a.jsonl")], spark) == 0 and '"metadata_checks_passed"' in capsys.readouterr().out
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps(r) for r in rows[1:]))
+    assert main(["audit", str(tmp_path / "b.jsonl")], spark) == 1
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    assert main(["probe", f"one={tmp_path}/t"], spark) == 0 and main(["probe", f"one={tmp_path}/t", f"two={tmp_path}/none"], spark) == 2
+
+
+def test_bounded_and_sniffed_readers(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    assert metadata.read_required(spark, str(tmp_path / "t"), ["id"], 5).count() == 5
+    with pytest.raises(ValueError):
+        metadata.read_required(spark, str(tmp_path / "t"), ["id"], 4)
+    (tmp_path / "m.csv").write_text("path|original_file|language\na.wav|o|en\nb.wav|o|en\n")
+    files = spark.createDataFrame([("a.wav",), ("b.wav",)], "path string")
+    assert metadata.read_sniffed(spark, str(tmp_path / "m.csv"), languages=["en"], inventory=files).count() == 2
+    for more in ({"languages": ["hi"]}, {"inventory": files.where("path = 'a.wav'")}):
+        with pytest.raises(ValueError):
+            metadata.read_sniffed(spark, str(tmp_path / "m.csv"), **more)
+
+
+def test_voice_conversion_needs_its_source(spark):
+    from sonoplan.functions import fields
+
+    rows = spark.createDataFrame([("7", "8", "FreeVC24"), ("7", "nan", "freevc"), (None, "8", "x"), ("7", None, "tts"), ("7", None, " ")], "t string, s string, g string")
+    why = checks.first_reason(fields.speaker_reason(True, F.lit(None), F.col("t"), F.col("s"), F.col("g")))
+    assert [r[0] for r in rows.select(why).collect()] == [None, "missing_source_speaker", "missing_target_speaker", None, "missing_generator"]
+    assert rows.limit(1).select(checks.first_reason(fields.speaker_reason(False, F.col("s"), F.lit(None), F.lit(None), F.lit(None)))).first()[0] is None
+
+
 def test_adapters_take_namespaces_and_languages(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text('[{"sample_id": "a", "speaker_id": 7}, {"sample_id": "b", "language": "ta"}]')
