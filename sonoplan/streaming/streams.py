@@ -65,18 +65,19 @@ def folded(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], Data
 
     A batch that is run again writes the same table from the same state before it. The two latest states are kept."""
     spark = stream.sparkSession
-    work = _work(spark)
+    work, last = _work(spark), -1
 
     def step(batch: DataFrame, number: int) -> None:
+        nonlocal last
         before = spark.read.schema(schema).parquet(f"{work}/state-{number - 1}") if number else None
         fold(before, batch).write.mode("overwrite").parquet(f"{work}/state-{number}")
         if number > 1:
             delete(spark, f"{work}/state-{number - 2}")
+        last = number
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    return spark.read.schema(schema).parquet(f"{work}/state-{last['batchId']}") if last and exists(spark, f"{work}/state-{last['batchId']}") else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{work}/state-{last}") if last >= 0 else spark.createDataFrame([], schema)
 
 
 def distinct_stream(stream: DataFrame, keys: list[str], time: str | None = None, late: str = "1 day") -> DataFrame:
