@@ -2,19 +2,19 @@
 
 Records are related by speaker and by source file, directly or through others. Rows of one record are gathered first, so that a
 record stored with several speakers or files relates them too. Speakers that share a file are joined to components; only files
-with more than one speaker make edges, so that the graph stays far smaller than the table. Components of the same size and label
-profile form a bundle. The bundles' components flow to the splits at the cost of what the splits' quotas of each label are missed
-by: an exact allocation where components are few; else the cheapest augmentations, large components first, and then cycles of
-up to three arcs (moves of components between splits, of any bundles) cancelled as long as that lowers the cost. Whole numbers
-of components flow, given to members by the order of a hash.
+with more than one speaker make edges, so that the graph stays far smaller than the table. Components with the same numbers of
+records of each label form a bundle. The bundles' components flow to the splits at the cost of what the splits' quotas of each
+label are missed by: an exact allocation where components are few; else the cheapest augmentations, large components first, and
+then cycles of up to three arcs (moves of components between splits, of any bundles) cancelled as long as that lowers the cost.
+Whole numbers of components flow, given to members by the order of a hash.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,12 +26,11 @@ from sonoplan.session import durable
 
 #: Rows up to which a map of speakers or components is broadcast; beyond that it is joined by shuffle, keys with HOT of all rows over salts.
 BROADCAST_ROWS, HOT, SALTS = 100_000, 0.005, 32
-#: Bundles at most. Where more profiles occur, their sizes are rounded to fewer binary digits, and a bundle counts with its mean.
+#: Bundles whose moves are held against all others at once, for the driver's memory; no result depends on it.
 MOST_BUNDLES = 5_000
 BUCKETS = 1024
-#: Pairs of moves that are tried for one exchange, and exchanges made.
-PAIRS = 200_000_000
-PASSES = 200
+#: Components of a bundle that one move takes at most; moves up to which threes of them are tried.
+AT_ONCE, THREES = 4, 300
 
 
 def _mapped(rows: DataFrame, mapping: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -82,19 +81,6 @@ def broken(rows: DataFrame) -> DataFrame:
     return _mapped(rows.select("sample_id", "component"), mixed, "component", "left_semi").select("sample_id")
 
 
-def profiles(components: DataFrame) -> DataFrame:
-    """components with their bundle (a, b): their numbers of records of each label, rounded to fewer binary digits while there are more than MOST_BUNDLES of them."""
-    for digits in (None, 8, 7, 6, 5, 4, 3, 2):
-        if digits is None:
-            rounded = lambda c: F.col(c)
-        else:
-            unit = lambda c: F.pow(F.lit(2), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col(c), F.lit(1)))) - digits + 1)).cast("bigint")
-            rounded = lambda c: F.floor(F.col(c) / unit(c)).cast("bigint") * unit(c)  # noqa: B023, E731
-        out = components.withColumns({"a": rounded("n_first"), "b": rounded("n_other")})
-        if digits == 2 or out.select("a", "b").distinct().limit(MOST_BUNDLES + 1).count() <= MOST_BUNDLES:
-            return out
-
-
 def _exact(bundles: list[tuple[int, int, int]], quota: list[list[float]], most: int = 200_000) -> list[list[int]] | None:
     """Components of each bundle for each split that miss the quotas by the least, over all loads that the splits can have; None if these are too many to list."""
     parts = lambda n, k: [(n,)] if k == 1 else [(x, *y) for x in range(n + 1) for y in parts(n - x, k - 1)]
@@ -115,45 +101,122 @@ def _exact(bundles: list[tuple[int, int, int]], quota: list[list[float]], most:
     return flow[::-1]
 
 
+class _Moves:
+    """The moves of one to AT_ONCE components of a bundle out of a split, ordered by what they take of either label."""
+
+    def __init__(self, sizes: np.ndarray, held: np.ndarray):
+        at = [np.flatnonzero((held >= n) & (sizes.sum(axis=1) > 0)) for n in range(1, AT_ONCE + 1)]
+        bundle, number = np.concatenate(at), np.repeat(np.arange(1, AT_ONCE + 1), [len(x) for x in at])
+        taken = sizes[bundle] * number[:, None]
+        order = np.lexsort((number, bundle, taken[:, 1], taken[:, 0]))
+        self.bundle, self.number, self.taken = bundle[order], number[order], taken[order]
+        self.columns, self.column = np.unique(self.taken[:, 0], return_inverse=True)
+        self.span = int(self.taken[:, 1].max(initial=0)) + 2
+        self.keys = self.column * self.span + self.taken[:, 1]
+
+
+def _best_last(out: list[_Moves], held: np.ndarray, excess: np.ndarray, first: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    """The move (bundle, from, to, number) after which the quotas are missed by the least, if the first one is made before; excess: after the first."""
+    best = None
+    for j, moves in enumerate(out):
+        there = ~((j == first[1]) & (moves.bundle == first[0]) & (held[moves.bundle, j] < moves.number + first[3]))
+        for h in range(len(out)):
+            if j != h and there.any():
+                rest = np.abs(np.delete(excess, [j, h], axis=0)).sum()
+                cost = np.where(there, rest + np.abs(excess[j] - moves.taken).sum(axis=1) + np.abs(excess[h] + moves.taken).sum(axis=1), np.inf)
+                k = int(cost.argmin())
+                if best is None or cost[k] < best[0]:
+                    best = float(cost[k]), (int(moves.bundle[k]), j, h, int(moves.number[k]))
+    return best[1]
+
+
+def _pair(sizes: np.ndarray, held: np.ndarray, excess: np.ndarray, goal: float) -> list[tuple[int, int, int, int]]:
+    """The first move (by bundle, from, to, number) that some other completes to miss the quotas by no more than the goal, and the best such other; empty if there is none.
+
+    What a second move misses grows with its distance from a rectangle, so that it is looked up among the ordered moves, column by column:
+    all pairs count, though few are looked at."""
+    splits = range(excess.shape[0])
+    out = [_Moves(sizes, held[:, j]) for j in splits]
+    ways = [(j, h) for j in splits for h in splits if j != h]
+    for start in range(0, len(sizes), MOST_BUNDLES):
+        block = slice(start, start + MOST_BUNDLES)
+        found = None
+        for j, h in ways:
+            at = [start + np.flatnonzero((held[block, j] >= n) & (sizes[block].sum(axis=1) > 0)) for n in range(1, AT_ONCE + 1)]
+            bundle, number = np.concatenate(at), np.repeat(np.arange(1, AT_ONCE + 1), [len(x) for x in at])
+            taken = sizes[bundle] * number[:, None]
+            base = np.repeat(excess[None], len(bundle), axis=0)
+            base[:, j] -= taken
+            base[:, h] += taken
+            for u, v in ways:
+                moves = out[u]
+                give, get = base[:, u], base[:, v]
+                rest = np.abs(np.delete(base, [u, v], axis=1)).sum(axis=(1, 2))
+                slack = (goal - rest - np.abs(give + get).sum(axis=1)) / 2
+                low, high = np.minimum(give, -get), np.maximum(give, -get)
+                column = np.searchsorted(moves.columns, low[:, 0] - slack)
+                end = np.searchsorted(moves.columns, high[:, 0] + slack, "right")
+                left = np.flatnonzero(slack >= 0)
+                while len(left := left[column[left] < end[left]]):
+                    if found:
+                        left = left[bundle[left] <= found[0]]
+                    c = moves.columns[column[left]]
+                    reach = slack[left] - np.maximum(0, np.maximum(low[left, 0] - c, c - high[left, 0]))
+                    key = column[left] * moves.span + np.clip(np.ceil(low[left, 1] - reach), 0, moves.span - 1).astype(np.int64)
+                    place = np.searchsorted(moves.keys, key)
+                    hit = np.zeros(len(left), dtype=bool)
+                    # of the same split's moves, those of the same components don't count
+                    for k in range(AT_ONCE + 1 if u == j else 1):
+                        p = np.minimum(place + k, len(moves.keys) - 1)
+                        inside = (place + k < len(moves.keys)) & (moves.column[p] == column[left]) & (moves.taken[p, 1] <= high[left, 1] + reach)
+                        short = (moves.bundle[p] == bundle[left]) & (held[bundle[left], j] < number[left] + moves.number[p]) if u == j else False
+                        hit |= inside & ~np.asarray(short)
+                    for m in left[hit]:
+                        way = (int(bundle[m]), j, h, int(number[m]))
+                        found = min(found, way) if found else way
+                    column[left] += 1
+        if found:
+            i, j, h, n = found
+            after = excess.copy()
+            after[j] -= n * sizes[i]
+            after[h] += n * sizes[i]
+            return [found, _best_last(out, held, after, found)]
+    return []
+
+
 def _exchange(bundles: list[tuple[int, int, int]], flow: list[list[int]], quota: list[list[float]]) -> None:
     """Changes flow by pairs of moves (one to four components of a bundle from a split to another, of any two bundles and splits), and threes of them
-    where moves are few, as long as they lower what is missed; done when each split is within a record of its quotas. Beyond 14,000 moves
-    not all pairs are tried (PAIRS), nor more than PASSES improvements made, so that the driver's time is bounded."""
-    splits = range(len(quota))
-    excess = np.array([[sum(f[j] * b[k] for b, f in zip(bundles, flow)) - quota[j][k] for k in (0, 1)] for j in splits], dtype=float).ravel()
-    for _ in range(PASSES):
-        if np.abs(excess).max() < 1:
-            break
-        moves = [(i, j, h, n) for i, (a, b, _) in enumerate(bundles) if a + b for j in splits for h in splits if j != h for n in range(1, min(4, flow[i][j]) + 1)]
-        steps = np.zeros((len(moves), 2 * len(quota)))
-        for m, (i, j, h, n) in enumerate(moves):
-            for k in (0, 1):
-                steps[m, 2 * j + k] -= n * bundles[i][k]
-                steps[m, 2 * h + k] += n * bundles[i][k]
-
-        def attempt(chosen: list[int]) -> bool:
-            """Takes the best last move after the chosen ones, if the quotas are then missed by less and all components are there."""
-            nonlocal excess
-            base = excess + steps[chosen].sum(axis=0)
-            cost = np.abs(base + steps).sum(axis=1)
-            last = int(cost.argmin())
-            if cost[last] >= np.abs(excess).sum() - 1e-9:
-                return False
-            taken = Counter()
-            for m in (*chosen, last):
-                taken[moves[m][:2]] += moves[m][3]
-            if any(flow[i][j] < n for (i, j), n in taken.items()):
-                return False
-            for m in (*chosen, last):
-                i, j, h, n = moves[m]
-                flow[i][j] -= n
-                flow[i][h] += n
-            excess = base + steps[last]
-            return True
-
-        first = range(0, len(moves), 1 + len(moves) ** 2 // PAIRS)
-        if not any(attempt([m]) for m in first) and not (len(moves) <= 300 and any(attempt([m, o]) for m in range(len(moves)) for o in range(m, len(moves)))):
+    where moves are few, as long as they lower what is missed; done when each split is within a record of its quotas, or no pair is left."""
+    sizes, held = np.array([b[:2] for b in bundles], dtype=np.int64).reshape(-1, 2), np.array(flow, dtype=np.int64).reshape(-1, len(quota))
+    excess = (held.T @ sizes).astype(float) - np.array(quota)
+
+    def make(move: tuple[int, int, int, int], sign: int = 1) -> None:
+        i, j, h, n = move
+        held[i, j] -= sign * n
+        held[i, h] += sign * n
+        excess[j] -= sign * n * sizes[i]
+        excess[h] += sign * n * sizes[i]
+
+    def three(goal: float) -> bool:
+        splits = range(len(quota))
+        moves = [(i, j, h, n) for i in np.flatnonzero(sizes.sum(axis=1)) for j in splits for h in splits if j != h for n in range(1, min(AT_ONCE, held[i, j]) + 1)]
+        for move in moves if len(moves) <= THREES else []:
+            make(move)
+            if pair := _pair(sizes, held, excess, goal):
+                for x in pair:
+                    make(x)
+                return True
+            make(move, -1)
+        return False
+
+    while np.abs(excess).max() >= 1:
+        goal = np.abs(excess).sum() - 1e-6
+        if pair := _pair(sizes, held, excess, goal):
+            for move in pair:
+                make(move)
+        elif not three(goal):
             break
+    flow[:] = held.tolist()
 
 
 def allocate(bundles: list[tuple[int, int, int]], ratios: list[float]) -> list[list[int]]:
@@ -186,7 +249,8 @@ def allocate(bundles: list[tuple[int, int, int]], ratios: list[float]) -> list[l
             n = max(1, min(left, int(room), -(-left // 8)))
             move(i, j, n)
             left -= n
-    for _ in range(50):
+    better = True
+    while better:
         better = False
         for i in reversed(order):
             a, b, _n = bundles[i]
@@ -203,8 +267,6 @@ def allocate(bundles: list[tuple[int, int, int]], ratios: list[float]) -> list[l
                             move(i, j, -m)
                             move(i, h, m)
                             better = True
-        if not better:
-            break
     _exchange(bundles, flow, quota)
     return flow
 
@@ -212,22 +274,25 @@ def allocate(bundles: list[tuple[int, int, int]], ratios: list[float]) -> list[l
 def split_groups(rows: DataFrame, ratios: dict[str, float], first_label: str = "bonafide") -> DataFrame:
     """sample_id, component, new_split of each distinct record; all records of a component have the same new_split. rows: as grouped() gives them.
 
-    Only bundles come to the driver, at most MOST_BUNDLES."""
+    Only bundles come to the driver. Their number grows with the records by a power of two thirds at most: as many different pairs of numbers as
+    occur need components that large (565,000 bundles, 24 bytes each, at 400 million records)."""
     spark = rows.sparkSession
     names = list(ratios)
     mine = durable(rows.select("sample_id", "component", "label"))
     is_first = F.when(F.col("label") == first_label, 1).otherwise(0)
+    profile = ["n_first", "n_other"]
     sized = mine.groupBy("component").agg(F.sum(is_first).alias("n_first"), F.sum(1 - is_first).alias("n_other")).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(BUCKETS)).cast("int"))
-    components = durable(profiles(durable(sized)))
-    profile = ["a", "b"]
-    found = components.groupBy(*profile).agg(F.avg("n_first").alias("x"), F.avg("n_other").alias("y"), F.count(F.lit(1)).alias("k")).orderBy(*profile).collect()
-    flows = allocate([(r["x"], r["y"], r["k"]) for r in found], [ratios[n] for n in names])
-    bounds = spark.createDataFrame([(r["a"], r["b"], np.cumsum(f).tolist()) for r, f in zip(found, flows)], "a bigint, b bigint, ends array<bigint>")
+    components = durable(sized)
+    found = components.groupBy(*profile).agg(F.count(F.lit(1)).alias("k")).orderBy(*profile).toArrow()
+    flows = allocate(list(zip(*(c.to_pylist() for c in found.columns))), [ratios[n] for n in names])
+    ends = np.cumsum(np.array(flows, dtype=np.int64).reshape(-1, len(names)), axis=1)
+    bounds = spark.createDataFrame(pa.table({c: found[c] for c in profile} | {f"end_{j}": ends[:, j] for j in range(len(names))}))
     # a component's place in its bundle: those in earlier buckets, and its place in its own bucket
     held = components.groupBy(*profile, "bucket").agg(F.count(F.lit(1)).alias("k"))
     before = held.select(*profile, "bucket", F.coalesce(F.sum("k").over(W.partitionBy(*profile).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(W.partitionBy(*profile, "bucket").orderBy(F.xxhash64("component"), "component"))
-    placed = components.withColumn("at", place).join(before, [*profile, "bucket"]).join(bounds, profile)
+    # the ends go to the buckets first, so that a bundle of most components doesn't meet them in one task
+    placed = components.withColumn("at", place).join(before.join(bounds, profile), [*profile, "bucket"])
     at = F.col("at") + F.col("before")
-    new = F.element_at(F.array(*map(F.lit, names)), F.least(F.size(F.filter("ends", lambda e: e < at)) + 1, F.lit(len(names))))
+    new = F.coalesce(*(F.when(at <= F.col(f"end_{j}"), n) for j, n in enumerate(names)))
     return _mapped(mine.select("sample_id", "component"), placed.select("component", new.alias("new_split")), "component").select("sample_id", "component", "new_split")

@@ -461,3 +461,35 @@ def test_allocation_exchanges_across_bundles():
     flow = [[1, 1], [2, 1]]
     grouped_split._exchange(few, flow, [[6.0, 0.0], [6.0, 0.0]])
     assert missed(few, flow, [0.5, 0.5]) == 0
+
+
+def test_quotas_are_met_whatever_the_number_of_bundles(spark, monkeypatch):
+    rows = grouped_split.grouped(spark.read.parquet(f"{FOLDER}/manifest.parquet"))
+    usual = {tuple(r) for r in grouped_split.split_groups(rows, queries.RATIOS).collect()}
+    # 5,183 components of as many profiles
+    many = spark.range(72 * 72).selectExpr("CAST(id AS STRING) component", "id DIV 72 a", "id % 72 b").where("a + b > 0").withColumn("k", F.explode(F.expr("sequence(1, a + b)")))
+    many = many.selectExpr("concat(component, '/', k) sample_id", "component", "CASE WHEN k <= a THEN 'bonafide' ELSE 'spoof' END label")
+    found = grouped_split.split_groups(many, queries.RATIOS).join(many.drop("component"), "sample_id").groupBy("label", "new_split").count().collect()
+    assert len(found) == 6 and all(abs(r["count"] - queries.RATIOS[r["new_split"]] * 72 * 71 * 36) < 1 for r in found)
+    monkeypatch.setattr(grouped_split, "MOST_BUNDLES", 5)
+    assert {tuple(r) for r in grouped_split.split_groups(rows, queries.RATIOS).collect()} == usual
+
+
+def test_pairs_of_moves_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(grouped_split, "MOST_BUNDLES", 2)
+    rng, seen = np.random.default_rng(15), set()
+    for _ in range(150):
+        sizes, held = rng.integers(0, rng.choice([3, 30]), (5, 2)), rng.integers(0, 3, (5, 3))
+        quota = np.array([0.6, 0.2, 0.2])[:, None] * (held.sum(axis=1) @ sizes)
+        excess = held.T @ sizes - quota
+        moves = [(i, j, h, n) for i in range(5) if sizes[i].any() for j in range(3) for h in range(3) if j != h for n in range(1, min(4, held[i, j]) + 1)]
+        changed = lambda way: sum(n * np.outer(np.eye(3)[h] - np.eye(3)[j], sizes[i]) for i, j, h, n in way)  # noqa: B023, E731
+        there = lambda x, y: x[:2] != y[:2] or x[3] + y[3] <= held[x[0], x[1]]  # noqa: B023, E731
+        cost = {(x, y): np.abs(excess + changed((x, y))).sum() for x in moves for y in moves if there(x, y)}
+        goal = np.abs(excess).sum() * rng.choice([0.1, 0.5, 1]) - 1e-6
+        first = min((x for (x, _), c in cost.items() if c <= goal), default=None)
+        got = grouped_split._pair(sizes, held, excess, goal)
+        seen.add(first is None)
+        assert (not got) == (first is None)
+        assert not got or got[0] == first and abs(cost[tuple(got)] - min(c for (x, _), c in cost.items() if x == first)) < 1e-9
+    assert seen == {True, False}
